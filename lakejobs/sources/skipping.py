@@ -1,0 +1,143 @@
+"""Skipping files by column statistics.
+
+A zone map holds one row per data file: its rows and, per column, the smallest
+and largest value and the number of nulls. A predicate is a list of conditions
+``(column, operator, value)`` that must all hold, with the operators
+``= < <= > >= in is_null is_not_null``.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+Condition = tuple[str, str, Any]
+
+FILE_KEYS = ["file_path", "file_size", "file_modification_time"]
+
+
+def zone_map(table: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per file of ``table``, computed in one pass. Only ``columns``
+    are read. Each task reduces a file to one row before the shuffle."""
+    stats = [F.count(F.lit(1)).alias("rows")]
+    for c in columns:
+        stats += [
+            F.min(c).alias(f"{c}__min"),
+            F.max(c).alias(f"{c}__max"),
+            F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"),
+        ]
+    keys = [F.col(f"_metadata.{k}").alias(k) for k in FILE_KEYS]
+    return table.groupBy(*keys).agg(*stats)
+
+
+def write_zone_map(table: DataFrame, columns: list[str], path: str) -> None:
+    """Store the zone map; its size grows with the files, not with the rows."""
+    zone_map(table, columns).write.mode("overwrite").parquet(path)
+
+
+def row_test(conditions: list[Condition]) -> Column:
+    """The predicate on rows."""
+
+    def test(name: str, op: str, value: Any) -> Column:
+        c = F.col(name)
+        match op:
+            case "=":
+                return c == value
+            case "<":
+                return c < value
+            case "<=":
+                return c <= value
+            case ">":
+                return c > value
+            case ">=":
+                return c >= value
+            case "in":
+                return c.isin(list(value))
+            case "is_null":
+                return c.isNull()
+            case "is_not_null":
+                return c.isNotNull()
+        raise ValueError(f"unknown operator {op!r}")
+
+    return reduce(Column.__and__, [test(*c) for c in conditions], F.lit(True))
+
+
+def file_test(conditions: list[Condition], mapped: list[str]) -> Column:
+    """Whether a file can hold a matching row, judged by its zone map row.
+    Conditions on columns without statistics keep every file."""
+
+    def test(name: str, op: str, value: Any) -> Column:
+        low, high = F.col(f"{name}__min"), F.col(f"{name}__max")
+        nulls = F.col(f"{name}__nulls")
+        match op:
+            case "=":
+                return (low <= value) & (high >= value)
+            case "<":
+                return low < value
+            case "<=":
+                return low <= value
+            case ">":
+                return high > value
+            case ">=":
+                return high >= value
+            case "in":
+                return reduce(
+                    Column.__or__, [(low <= v) & (high >= v) for v in value], F.lit(False)
+                )
+            case "is_null":
+                return nulls > 0
+            case "is_not_null":
+                return F.col("rows") > nulls
+        raise ValueError(f"unknown operator {op!r}")
+
+    # A file whose values are all null has no bounds: no comparison can match.
+    tests = [F.coalesce(test(*c), F.lit(False)) for c in conditions if c[0] in mapped]
+    return reduce(Column.__and__, tests, F.lit(True))
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """Path, size and modification time of every file below ``path``. Only
+    the listing is read, not the contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(*[F.col(f"_metadata.{k}").alias(k) for k in FILE_KEYS])
+
+
+def matching_files(
+    spark: SparkSession, path: str, map_path: str, conditions: list[Condition]
+) -> DataFrame:
+    """All files below ``path`` with a flag ``keep``.
+
+    Files that are not in the map, or were changed since, are always kept;
+    files in the map that are gone do not show up.
+    """
+    stats = spark.read.parquet(map_path)
+    mapped = [c.removesuffix("__nulls") for c in stats.columns if c.endswith("__nulls")]
+    joined = list_files(spark, path).join(stats, FILE_KEYS, "left")
+    unknown = F.col("rows").isNull()
+    return joined.select("file_path", (unknown | file_test(conditions, mapped)).alias("keep"))
+
+
+def skipping_scan(
+    spark: SparkSession, path: str, map_path: str, conditions: list[Condition]
+) -> DataFrame:
+    """Rows of the table at ``path`` that meet ``conditions``, reading only the
+    files that can hold some.
+
+    The names of the kept files come to the driver, which holds the listing of
+    the table anyway. They are put into the plan as a filter on the file name,
+    which Spark applies before it opens a file. The conditions are applied to
+    the rows again.
+    """
+    table = spark.read.parquet(path)
+    files = matching_files(spark, path, map_path, conditions).collect()
+    kept = [f.file_path for f in files if f.keep]
+    result = table.filter(row_test(conditions))
+    if len(kept) == len(files):
+        return result
+    if not kept:
+        return table.filter(F.lit(False))
+    quoted = ("'" + f.replace("\\", "\\\\").replace("'", "\\'") + "'" for f in kept)
+    return result.filter(F.expr(f"_metadata.file_path IN ({', '.join(quoted)})"))
