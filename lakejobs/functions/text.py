@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters that end a line and that count as white space
-# when a script is split into statements.
-LINE_ENDS = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+# when a script is split into statements. CR LF together end one line.
+LINE_ENDS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
     "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -55,13 +55,22 @@ def log_line(level: Column, source: Column, message: Column) -> Column:
     return F.format_string("%s [%s] %s", *fields)
 
 
+def _unix_lines(text: Column) -> Column:
+    """Every line end as a line feed. Most texts have no other line ends and
+    are passed through."""
+    one_char = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    changed = F.translate(one_char, LINE_ENDS, "\n" * len(LINE_ENDS))
+    return F.when(F.rlike(text, F.lit(f"[{LINE_ENDS[1:]}]")), changed).otherwise(text)
+
+
 def _statement(chunk: Column) -> Column:
     """A chunk without its whole-line comments and outer white space."""
     space = F.lit(WHITE_SPACE)
     code_lines = F.filter(
-        F.split(chunk, LINE_ENDS), lambda line: ~F.startswith(F.ltrim(line, space), F.lit("--"))
+        F.split(chunk, "\n"), lambda line: ~F.startswith(F.ltrim(line, space), F.lit("--"))
     )
-    return F.btrim(F.array_join(code_lines, "\n"), space)
+    code = F.when(F.contains(chunk, F.lit("--")), F.array_join(code_lines, "\n"))
+    return F.btrim(F.coalesce(code, chunk), space)
 
 
 def split_statements(df: DataFrame, script: str, *keep: str) -> DataFrame:
@@ -72,6 +81,6 @@ def split_statements(df: DataFrame, script: str, *keep: str) -> DataFrame:
     only then are lines starting with ``--`` dropped. A comment after code stays.
     Empty statements are left out.
     """
-    chunks = df.select(*keep, F.posexplode(F.split(F.col(script), ";")).alias("pos", "_chunk"))
-    statements = chunks.select(*keep, "pos", _statement(F.col("_chunk")).alias("statement"))
-    return statements.filter(F.col("statement") != "")
+    chunks = F.split(_unix_lines(F.col(script)), ";")
+    statements = F.posexplode(F.transform(chunks, _statement)).alias("pos", "statement")
+    return df.select(*keep, statements).filter(F.col("statement") != "")

@@ -6,6 +6,10 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, StringType
+
+# Smallest and largest value of the integer types.
+INTEGER_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
 
 
 def pick_by_remainder(number: Column, labels: list[str]) -> Column:
@@ -21,3 +25,30 @@ def simple_case(value: Column, results: dict[Any, Any], default: Any) -> Column:
     for key, result in rest:
         case = case.when(value == F.lit(key), F.lit(result))
     return case.otherwise(F.lit(default))
+
+
+def convert(column: Column, have: DataType, want: DataType) -> Column:
+    """``column`` of type ``have`` as type ``want``; null where it does not fit.
+
+    The result is that of ``try_cast``. That raises and catches an exception for
+    every value that does not convert to an integer, which is slow when there
+    are many, so the usual ones are told by their characters or size first.
+    """
+    if not isinstance(want, IntegralType):
+        return column.try_cast(want)
+    half = 2 ** (INTEGER_BITS[want.simpleString()] - 1)
+
+    def narrow(number: Column) -> Column:
+        return F.when(number.between(-half, half - 1), number.cast(want))
+
+    if isinstance(have, IntegralType):
+        return narrow(column)
+    if isinstance(have, StringType):
+        few_digits = F.rlike(column, F.lit("^[+-]?[0-9]{1,18}$"))
+        no_number = F.rlike(column, F.lit("[^0-9+\\-\\x00-\\x20\\x7f]"))
+        return (
+            F.when(few_digits, narrow(F.when(few_digits, column.cast("bigint"))))
+            .when(no_number, F.lit(None).cast(want))
+            .otherwise(column.try_cast(want))
+        )
+    return column.try_cast(want)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lakejobs.functions.values import convert
 from lakejobs.sources.tables import append_rows, read_if_present
 
 Rule = Callable[[dict[str, Column]], Column]
@@ -41,6 +42,15 @@ def append_by_name(
     append_rows(align(df, schema, extra, missing), table)
 
 
+def typed_columns(df: DataFrame, schema: StructType) -> dict[str, Column]:
+    """The columns of ``schema``, converted; null where a value does not fit."""
+    have = df.schema
+    return {
+        f.name: convert(F.col(f.name), have[f.name].dataType, f.dataType).alias(f.name)
+        for f in schema
+    }
+
+
 def judge(df: DataFrame, schema: StructType, rules: dict[str, Rule] | None = None) -> DataFrame:
     """Add ``reject_reason``: null for a row that can be stored, otherwise
     every reason why not.
@@ -49,7 +59,7 @@ def judge(df: DataFrame, schema: StructType, rules: dict[str, Rule] | None = Non
     maps a reason to a test on the converted columns; like a CHECK constraint
     it passes when the test is null.
     """
-    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema}
+    typed = typed_columns(df, schema)
     reasons = [
         F.when(
             F.col(f.name).isNotNull() & typed[f.name].isNull(),
@@ -64,8 +74,8 @@ def judge(df: DataFrame, schema: StructType, rules: dict[str, Rule] | None = Non
 
 def accepted(judged: DataFrame, schema: StructType) -> DataFrame:
     """The rows that can be stored, converted to the table's types."""
-    typed = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema]
-    return judged.filter(F.col("reject_reason").isNull()).select(*typed)
+    typed = typed_columns(judged, schema)
+    return judged.filter(F.col("reject_reason").isNull()).select(*typed.values())
 
 
 def rejected(judged: DataFrame) -> DataFrame:

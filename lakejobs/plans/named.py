@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from lakejobs.plans.report import report_frame, report_row, scan_facts
 
+OUTPUTS_AT_ONCE = 4
+
 
 @dataclass
 class NamedOutputs:
@@ -84,12 +87,13 @@ def write_named(named: NamedOutputs, path: str | None, file_format: str = "json"
     row per output. ``path=None`` runs the queries without keeping the rows.
 
     The rows are counted while they are written, all of them, in however many
-    files they end up.
+    files they end up. A few outputs are written at a time, so that one with
+    few tasks does not leave the cluster idle.
     """
-    spark = named.source.sparkSession
     whole = scan_facts(named.source)
-    rows = []
-    for name, df in named.outputs.items():
+
+    def write(name: str) -> tuple:
+        df = named.outputs[name]
         facts = scan_facts(df)
         written = Observation()
         counted = df.observe(written, F.count(F.lit(1)).alias("n"))
@@ -98,5 +102,8 @@ def write_named(named: NamedOutputs, path: str | None, file_format: str = "json"
         else:
             counted.write.format(file_format).mode("overwrite").save(f"{path}/{name}")
         query = named.queries[name]
-        rows.append(report_row(name, query, written.get["n"], named.table, facts, whole))
-    return report_frame(spark, rows)
+        return report_row(name, query, written.get["n"], named.table, facts, whole)
+
+    with ThreadPoolExecutor(OUTPUTS_AT_ONCE) as pool:
+        rows = list(pool.map(write, named.outputs))
+    return report_frame(named.source.sparkSession, rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DataType,
@@ -39,13 +39,13 @@ def table_summary(spark: SparkSession, table: str) -> DataFrame:
     )
 
 
-def _bound(aggregate: Column, data_type: DataType) -> tuple[Column | None, Column | None]:
-    """A smallest or largest value as ``(number, text)``; at most one is set."""
+def _bound(aggregate: str, data_type: DataType) -> dict[str, str]:
+    """A smallest or largest value in SQL, under the kind it is reported as."""
     if isinstance(data_type, NumericType):
-        return aggregate.cast("double"), None
+        return {"number": f"CAST({aggregate} AS DOUBLE)"}
     if isinstance(data_type, (StringType, DateType, TimestampType, TimestampNTZType)):
-        return None, aggregate.cast("string")
-    return None, None
+        return {"text": f"CAST({aggregate} AS STRING)"}
+    return {}
 
 
 def profile(df: DataFrame, table: str) -> DataFrame:
@@ -55,33 +55,33 @@ def profile(df: DataFrame, table: str) -> DataFrame:
     into one row per column. Numbers are reported in ``min_number`` and
     ``max_number``, text and times in ``min_text`` and ``max_text``.
     """
-    stats = [F.count(F.lit(1)).alias("rows")]
-    entries = []
+    stats, entries = ["count(*) AS rows"], []
     for i, field in enumerate(df.schema):
-        c = F.col(f"`{field.name}`")
-        low_number, low_text = _bound(F.min(c), field.dataType)
-        high_number, high_text = _bound(F.max(c), field.dataType)
-        entry = [F.lit(table).alias("table"), F.lit(field.name).alias("column"), F.col("rows")]
+        column = "`" + field.name.replace("`", "``") + "`"
+        low = _bound(f"min({column})", field.dataType)
+        high = _bound(f"max({column})", field.dataType)
         measures = {
-            "nulls": (F.count_if(c.isNull()), "bigint"),
-            "min_number": (low_number, "double"),
-            "max_number": (high_number, "double"),
-            "min_text": (low_text, "string"),
-            "max_text": (high_text, "string"),
+            "nulls": f"count(*) - count({column})",
+            "min_number": low.get("number", "CAST(NULL AS DOUBLE)"),
+            "max_number": high.get("number", "CAST(NULL AS DOUBLE)"),
+            "min_text": low.get("text", "CAST(NULL AS STRING)"),
+            "max_text": high.get("text", "CAST(NULL AS STRING)"),
         }
-        for name, (aggregate, kind) in measures.items():
-            if aggregate is None:
-                entry.append(F.lit(None).cast(kind).alias(name))
-            else:
-                stats.append(aggregate.alias(f"{name}_{i}"))
-                entry.append(F.col(f"{name}_{i}").alias(name))
-        entries.append(F.struct(*entry))
-    return df.agg(*stats).select(F.inline(F.array(*entries)))
+        stats += [f"{sql} AS {name}_{i}" for name, sql in measures.items()]
+        values = ", ".join(f"{name}_{i}" for name in measures)
+        entries.append(f"{_literal(table)}, {_literal(field.name)}, rows, {values}")
+    names = "`table`, `column`, rows, nulls, min_number, max_number, min_text, max_text"
+    stacked = f"stack({len(entries)}, {', '.join(entries)}) AS ({names})"
+    return df.selectExpr(*stats).selectExpr(stacked)
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def profile_all(tables_by_name: dict[str, DataFrame]) -> DataFrame:
     """The profiles of several tables."""
-    return reduce(DataFrame.unionByName, [profile(df, n) for n, df in tables_by_name.items()])
+    return reduce(DataFrame.union, [profile(df, n) for n, df in tables_by_name.items()])
 
 
 def storage(spark: SparkSession, path: str, table: str) -> DataFrame:

@@ -65,16 +65,16 @@ def flights(rows: DataFrame, months: int = 12, block: int = ROWS_PER_MONTH) -> D
         (F.pmod(r * 3, F.lit(4800)) + 200).cast("int").alias("distance"),
     )
     blocks = [
-        every_month.select(
-            (r + F.lit((month - 1) * block)).cast("bigint").alias("flight_id"),
+        every_month.selectExpr(
+            f"CAST(r + {(month - 1) * block} AS BIGINT) AS flight_id",
             "carrier_code",
             "flight_num",
             "origin",
             "dest",
-            F.lit(f"{YEAR}-{month:02d}").alias("flight_month"),
+            f"'{YEAR}-{month:02d}' AS flight_month",
             "dep_delay",
             "distance",
         )
         for month in range(1, months + 1)
     ]
-    return reduce(DataFrame.unionByName, blocks)
+    return reduce(DataFrame.union, blocks)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
-from lakejobs.operators.append import Rule, judge
+from lakejobs.operators.append import Rule, accepted, judge, rejected
 
 HOURLY = "3600 seconds"
 METRICS = "ingest"
@@ -80,14 +80,13 @@ def append_stream(
 
 def accepted_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The good rows written by :func:`append_stream`."""
-    rows = spark.read.parquet(path).filter(F.col("outcome") == "accepted")
-    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    return accepted(spark.read.parquet(path).filter(F.col("outcome") == "accepted"), schema)
 
 
 def rejected_rows(spark: SparkSession, path: str) -> DataFrame:
     """The others, as they came in, with the reason."""
     rows = spark.read.parquet(path).filter(F.col("outcome") == "rejected")
-    return rows.drop("outcome")
+    return rejected(rows).drop("outcome")
 
 
 def append_batches(
