@@ -8,8 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegralType, StringType
 
-# Smallest and largest value of the integer types.
+# Bits of the integer types, and how many digits always fit.
 INTEGER_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+SAFE_DIGITS = {"tinyint": 2, "smallint": 4, "int": 9, "bigint": 18}
 
 
 def pick_by_remainder(number: Column, labels: list[str]) -> Column:
@@ -34,9 +35,10 @@ def convert(column: Column, have: DataType, want: DataType) -> Column:
     every value that does not convert to an integer, which is slow when there
     are many, so the usual ones are told by their characters or size first.
     """
-    if not isinstance(want, IntegralType):
+    if have == want or not isinstance(want, IntegralType):
         return column.try_cast(want)
-    half = 2 ** (INTEGER_BITS[want.simpleString()] - 1)
+    kind = want.simpleString()
+    half = 2 ** (INTEGER_BITS[kind] - 1)
 
     def narrow(number: Column) -> Column:
         return F.when(number.between(-half, half - 1), number.cast(want))
@@ -44,11 +46,14 @@ def convert(column: Column, have: DataType, want: DataType) -> Column:
     if isinstance(have, IntegralType):
         return narrow(column)
     if isinstance(have, StringType):
-        few_digits = F.rlike(column, F.lit("^[+-]?[0-9]{1,18}$"))
-        no_number = F.rlike(column, F.lit("[^0-9+\\-\\x00-\\x20\\x7f]"))
+        few, no_more = SAFE_DIGITS[kind], SAFE_DIGITS["bigint"]
         return (
-            F.when(few_digits, narrow(F.when(few_digits, column.cast("bigint"))))
-            .when(no_number, F.lit(None).cast(want))
+            F.when(F.rlike(column, F.lit(f"^[+-]?[0-9]{{1,{few}}}$")), column.cast(want))
+            .when(F.rlike(column, F.lit("[^0-9+\\-\\x00-\\x20\\x7f]")), F.lit(None))
+            .when(
+                F.rlike(column, F.lit(f"^[+-]?[0-9]{{1,{no_more}}}$")),
+                narrow(column.cast("bigint")),
+            )
             .otherwise(column.try_cast(want))
         )
     return column.try_cast(want)

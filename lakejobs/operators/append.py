@@ -14,13 +14,13 @@ from lakejobs.sources.tables import append_rows, read_if_present
 Rule = Callable[[dict[str, Column]], Column]
 
 
-def align(
+def match_columns(
     df: DataFrame, schema: StructType, extra: str = "error", missing: str = "error"
 ) -> DataFrame:
-    """Put the columns of ``df`` in the order and types of ``schema``, by name.
+    """Put the columns of ``df`` in the order of ``schema``, by name.
 
     ``extra`` is ``error`` or ``drop``; ``missing`` is ``error`` or
-    ``fill_null``. A value that does not fit its type fails the write.
+    ``fill_null``.
     """
     have, want = set(df.columns), set(schema.names)
     if have - want and extra != "drop":
@@ -29,12 +29,21 @@ def align(
         raise ValueError(f"columns missing: {sorted(want - have)}")
     return df.select(
         *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
             for f in schema
         ]
     )
 
 
+def align(
+    df: DataFrame, schema: StructType, extra: str = "error", missing: str = "error"
+) -> DataFrame:
+    """Match the columns by name and cast them. A value that does not fit its
+    type fails the write."""
+    matched = match_columns(df, schema, extra, missing)
+    return matched.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def append_by_name(
     df: DataFrame, table: str, schema: StructType, extra: str = "error", missing: str = "error"
 ) -> None:
@@ -53,12 +62,13 @@ def typed_columns(df: DataFrame, schema: StructType) -> dict[str, Column]:
 
 def judge(df: DataFrame, schema: StructType, rules: dict[str, Rule] | None = None) -> DataFrame:
     """Add ``reject_reason``: null for a row that can be stored, otherwise
-    every reason why not.
+    every reason why not. The columns are matched by name first.
 
     A value that does not convert to its column type is a reason. ``rules``
     maps a reason to a test on the converted columns; like a CHECK constraint
     it passes when the test is null.
     """
+    df = match_columns(df, schema)
     typed = typed_columns(df, schema)
     reasons = [
         F.when(
@@ -66,6 +76,7 @@ def judge(df: DataFrame, schema: StructType, rules: dict[str, Rule] | None = Non
             F.lit(f"{f.name}: not {f.dataType.simpleString()}"),
         )
         for f in schema
+        if df.schema[f.name].dataType != f.dataType
     ]
     for label, rule in (rules or {}).items():
         reasons.append(F.when(~rule(typed), F.lit(label)))

@@ -1,0 +1,130 @@
+import datetime as dt
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lakejobs.plans.report import scan_facts
+from lakejobs.sources.skipping import row_test, skipping_scan, write_zone_map, zone_map
+from lakejobs.sources.tables import rebuild_partitioned
+
+COLUMNS = ["a", "b", "s"]
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def clustered(spark, tmp_path_factory):
+    """Twelve files: ``a`` clustered, ``b`` with nulls (one file has only
+    nulls), ``s`` text. Column ``c`` has no statistics."""
+    root = str(tmp_path_factory.mktemp("zones"))
+    df = spark.range(0, 1200, 1, 12).select(
+        F.col("id").alias("a"),
+        F.when(F.col("id") < 100, None)
+        .when(F.col("id") % 7 != 0, F.col("id") / 10.0)
+        .alias("b"),
+        F.concat(F.lit("k"), (F.col("id") / 50).cast("int")).alias("s"),
+        (F.col("id") % 5).alias("c"),
+    )
+    df.write.parquet(f"{root}/t")
+    write_zone_map(spark.read.parquet(f"{root}/t"), COLUMNS, f"{root}/map")
+    return f"{root}/t", f"{root}/map"
+
+
+def test_zone_map(spark, clustered):
+    path, _ = clustered
+    zones = zone_map(spark.read.parquet(path), ["a", "b"]).orderBy("a__min").collect()
+    assert [(z.rows, z.a__min, z.a__max) for z in zones] == [
+        (100, 100 * i, 100 * i + 99) for i in range(12)
+    ]
+    assert (zones[0].b__min, zones[0].b__max, zones[0].b__nulls) == (None, None, 100)
+
+
+VALUES = {
+    "a": st.integers(-50, 1300),
+    "b": st.floats(-5, 130, allow_nan=False),
+    "s": st.integers(0, 30).map(lambda n: f"k{n}"),
+    "c": st.integers(-1, 6),
+}
+
+
+@st.composite
+def condition(draw):
+    column = draw(st.sampled_from(sorted(VALUES)))
+    op = draw(st.sampled_from(["=", "<", "<=", ">", ">=", "in", "is_null", "is_not_null"]))
+    if op == "in":
+        return column, op, draw(st.lists(VALUES[column], max_size=3))
+    return column, op, None if op.startswith("is") else draw(VALUES[column])
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+@given(conditions=st.lists(condition(), max_size=3))
+def test_equals_plain_scan(spark, clustered, conditions):
+    path, zones = clustered
+    plain = spark.read.parquet(path).filter(row_test(conditions))
+    assert rows(skipping_scan(spark, path, zones, conditions)) == rows(plain)
+
+
+@pytest.mark.parametrize(
+    ("conditions", "files"),
+    [
+        ([("a", ">=", 250), ("a", "<", 310)], 2),
+        ([("a", "=", 1199)], 1),
+        ([("a", "in", [5, 1100])], 2),
+        ([("b", "is_not_null", None)], 11),
+        ([("b", "<", 9.0)], 0),
+        ([("a", ">", 5000)], 0),
+        ([("c", "=", 1)], 12),
+        ([("s", "=", "k3"), ("c", "=", 1)], 1),
+    ],
+)
+def test_files_read(spark, clustered, conditions, files):
+    scan = skipping_scan(spark, *clustered, conditions)
+    assert scan.columns == ["a", "b", "s", "c"]
+    assert scan_facts(scan).files == files
+
+
+def test_only_statistics_columns_are_read(spark, clustered):
+    facts = scan_facts(zone_map(spark.read.parquet(clustered[0]), ["a"]))
+    assert facts.columns == ["a"]
+
+
+def test_new_and_changed_files_are_read(spark, folder):
+    path, zones = f"{folder}/t", f"{folder}/map"
+    spark.range(0, 100, 1, 4).write.parquet(path)
+    write_zone_map(spark.read.parquet(path), ["id"], zones)
+    spark.range(1000, 1010).write.mode("append").parquet(path)
+    spark.catalog.refreshByPath(path)
+    found = skipping_scan(spark, path, zones, [("id", ">=", 1000)])
+    assert found.count() == 10
+    spark.range(2000, 2100, 1, 4).write.mode("overwrite").parquet(path)
+    spark.catalog.refreshByPath(path)
+    assert skipping_scan(spark, path, zones, [("id", ">=", 0)]).count() == 100
+    assert skipping_scan(spark, path, zones, [("id", "<", 100)]).count() == 0
+
+
+def test_partition_values_with_special_characters(spark, folder):
+    path, zones = f"{folder}/t", f"{folder}/map"
+    keys = ["a b", "c:d", "e'f", "g%h", "i\\j", "k=l", "[m]*"]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "p STRING, n INT")
+    rebuild_partitioned(df, path, "p")
+    write_zone_map(spark.read.parquet(path), ["n", "p"], zones)
+    for i, key in enumerate(keys):
+        by_number = skipping_scan(spark, path, zones, [("n", "=", i)])
+        assert scan_facts(by_number).files == 1
+        assert rows(by_number) == [(i, key)]
+        assert rows(skipping_scan(spark, path, zones, [("p", "=", key)])) == [(i, key)]
+
+
+def test_times(spark, folder):
+    path, zones = f"{folder}/t", f"{folder}/map"
+    df = spark.range(0, 60, 1, 6).select(
+        (F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(F.col("id").cast("int"))).alias("ts")
+    )
+    df.write.parquet(path)
+    write_zone_map(spark.read.parquet(path), ["ts"], zones)
+    scan = skipping_scan(spark, path, zones, [("ts", ">=", dt.datetime(2024, 2, 25))])
+    assert (scan.count(), scan_facts(scan).files) == (5, 1)
