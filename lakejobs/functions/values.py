@@ -13,6 +13,11 @@ INTEGER_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
 SAFE_DIGITS = {"tinyint": 2, "smallint": 4, "int": 9, "bigint": 18}
 
 
+def sql_text(text: str) -> str:
+    """``text`` as a literal in a SQL expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def pick_by_remainder(number: Column, labels: list[str]) -> Column:
     """The label at the never-negative remainder of ``number``."""
     position = F.pmod(number, F.lit(len(labels))).cast("int")

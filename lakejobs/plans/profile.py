@@ -15,6 +15,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
+from lakejobs.functions.values import sql_text
 from lakejobs.sources.skipping import list_files
 
 def namespaces(spark: SparkSession, catalog: str | None = None) -> DataFrame:
@@ -69,16 +70,12 @@ def profile(df: DataFrame, table: str) -> DataFrame:
         }
         stats += [f"{sql} AS {name}_{i}" for name, sql in measures.items()]
         values = ", ".join(f"{name}_{i}" for name in measures)
-        entries.append(f"{_literal(table)}, {_literal(field.name)}, rows, {values}")
+        entries.append(f"{sql_text(table)}, {sql_text(field.name)}, rows, {values}")
     names = "`table`, `column`, rows, nulls, min_number, max_number, min_text, max_text"
     stacked = f"stack({len(entries)}, {', '.join(entries)}) AS ({names})"
     return df.selectExpr(*stats).selectExpr(stacked)
 
 
-def _literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def profile_all(tables_by_name: dict[str, DataFrame]) -> DataFrame:
     """The profiles of several tables."""
     return reduce(DataFrame.union, [profile(df, n) for n, df in tables_by_name.items()])

@@ -24,10 +24,8 @@ from lakejobs.sources.tables import (
 HEAD_LENGTH = 80
 
 
-def run_script(spark: SparkSession, script: str) -> list[str]:
-    """Run the statements of a SQL script in order. Returns the head of each:
-    its first line, at most 80 characters."""
-    text = spark.createDataFrame([(script,)], "script STRING")
+def _run(text: DataFrame) -> list[str]:
+    """Run the statements of a one-row frame with a column ``script``."""
     statements = (
         split_statements(text, "script")
         .select("statement", cut(first_line(F.col("statement")), HEAD_LENGTH).alias("head"))
@@ -35,10 +33,21 @@ def run_script(spark: SparkSession, script: str) -> list[str]:
         .collect()
     )
     for row in statements:
-        spark.sql(row.statement)
+        text.sparkSession.sql(row.statement)
     return [row.head for row in statements]
 
 
+def run_script(spark: SparkSession, script: str) -> list[str]:
+    """Run the statements of a SQL script in order. Returns the head of each:
+    its first line, at most 80 characters."""
+    return _run(spark.createDataFrame([(script,)], "script STRING"))
+
+
+def run_file(spark: SparkSession, path: str) -> list[str]:
+    """Run the SQL script at ``path``, on any file system Spark reads."""
+    return _run(spark.read.text(path, wholetext=True).withColumnRenamed("value", "script"))
+
+
 def count_rows(spark: SparkSession, table: str) -> DataFrame:
     """The row count, to check a table after it was written."""
     return read_table(spark, table).agg(F.count(F.lit(1)).alias("n"))

@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakejobs.functions.values import sql_text
+
 Condition = tuple[str, str, Any]
 
 FILE_KEYS = ["file_path", "file_size", "file_modification_time"]
@@ -126,18 +128,23 @@ def skipping_scan(
     """Rows of the table at ``path`` that meet ``conditions``, reading only the
     files that can hold some.
 
-    The names of the kept files come to the driver, which holds the listing of
-    the table anyway. They are put into the plan as a filter on the file name,
-    which Spark applies before it opens a file. The conditions are applied to
-    the rows again.
+    The names of the files to read, or of those to skip, come to the driver,
+    whichever are fewer; it holds the listing of the table anyway. They are put
+    into the plan as a filter on the file name, which Spark applies before it
+    opens a file. The conditions are applied to the rows again.
     """
     table = spark.read.parquet(path)
-    files = matching_files(spark, path, map_path, conditions).collect()
-    kept = [f.file_path for f in files if f.keep]
+    files = matching_files(spark, path, map_path, conditions)
+    counts = {row["keep"]: row["count"] for row in files.groupBy("keep").count().collect()}
+    read, skipped = counts.get(True, 0), counts.get(False, 0)
+    if not read:
+        return table.filter(F.lit(False))
     result = table.filter(row_test(conditions))
-    if len(kept) == len(files):
+    if not skipped:
         return result
-    if not kept:
-        return table.filter(F.lit(False))
-    quoted = ("'" + f.replace("\\", "\\\\").replace("'", "\\'") + "'" for f in kept)
-    return result.filter(F.expr(f"_metadata.file_path IN ({', '.join(quoted)})"))
+    read_fewer = read <= skipped
+    named = files.filter(F.col("keep") == read_fewer).select("file_path").collect()
+    # One SQL text is far quicker to build than a list of literal columns.
+    quoted = ", ".join(sql_text(row.file_path) for row in named)
+    test = "IN" if read_fewer else "NOT IN"
+    return result.filter(F.expr(f"_metadata.file_path {test} ({quoted})"))
