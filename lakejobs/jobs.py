@@ -297,7 +297,7 @@ def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File statistics of events by day, summed up to one row per day."""
     _, events = _events_by_day(spark, sf_dir)
-    files = file_zones(events, ["day", "value"])
+    files = file_zones(events, ["value"], partition_columns=("day",))
     return files.groupBy(F.col("day__min").alias("day")).agg(
         F.sum("rows").alias("rows"),
         F.min("value__min").alias("min_value"),

@@ -46,7 +46,8 @@ def _visible_as(df: DataFrame, name: str) -> Iterator[None]:
         yield
     finally:
         if previous is None:
-            spark.catalog.dropTempView(name)
+            # Unlike dropTempView this leaves df cached, if it was.
+            spark.sql(f"DROP VIEW `{name}`")
         else:
             previous.createOrReplaceTempView(name)
 

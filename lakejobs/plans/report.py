@@ -1,7 +1,8 @@
 """What a query will read: files, partitions, pushed filters, columns.
 
 This is the only module that looks at the physical plan through the JVM
-bridge. Without the bridge (Spark Connect) these fields are null.
+bridge. Without the bridge (Spark Connect), and for tables that are cached or
+read by another source than Spark's file sources, these fields are null.
 """
 
 from __future__ import annotations
@@ -28,12 +29,28 @@ def _items(scala_seq) -> list:
     return [scala_seq.apply(i) for i in range(scala_seq.size())]
 
 
-def _file_scans(plan) -> list:
+# Plan leaves that read no table.
+NO_TABLE = {
+    "LocalTableScanExec",
+    "EmptyRelationExec",
+    "OneRowRelationExec",
+    "RangeExec",
+    "ReusedExchangeExec",
+    "ReusedSubqueryExec",
+}
+
+
+def _file_scans(plan) -> list | None:
     """The file scan nodes below ``plan``, also under adaptive stages and in
-    sub-queries."""
-    found, todo = [], [plan]
+    sub-queries; None if it reads something else, such as a cached table."""
+    found, todo, seen = [], [plan], set()
     while todo:
         node = todo.pop()
+        for query in _items(node.subqueries()):
+            # A sub-query shows up at every use, but runs once.
+            if query.semanticHash() not in seen:
+                seen.add(query.semanticHash())
+                todo.append(query)
         kind = node.getClass().getSimpleName()
         if kind == "AdaptiveSparkPlanExec":
             todo.append(node.executedPlan())
@@ -42,8 +59,10 @@ def _file_scans(plan) -> list:
         elif kind == "FileSourceScanExec":
             found.append(node)
         else:
-            todo += _items(node.children())
-        todo += _items(node.subqueries())
+            children = _items(node.children())
+            if not children and kind not in NO_TABLE:
+                return None
+            todo += children
     return found
 
 
@@ -54,10 +73,13 @@ def _metadata(scan, key: str) -> str:
 
 def scan_facts(df: DataFrame) -> ScanFacts | None:
     """Facts about the scans of ``df``, known once it is planned, before any
-    data is read. Partition and file pruning happen at planning."""
+    data is read. Partition and file pruning happen at planning. None if they
+    cannot be known."""
     if not hasattr(df, "_jdf"):
         return None
     scans = _file_scans(df._jdf.queryExecution().executedPlan())
+    if scans is None:
+        return None
     chosen = [scan.selectedPartitions() for scan in scans]
     columns = [name for scan in scans for name in scan.requiredSchema().fieldNames()]
     return ScanFacts(

@@ -101,6 +101,31 @@ def test_report_without_output(table):
     assert report.first().namespace is None
 
 
+def test_report_of_a_query_that_reads_nothing(table):
+    never = {"never": "SELECT flight_id FROM flights WHERE 1 = 0"}
+    row = write_named(run_named(table, "flights", never), None).first()
+    assert (row.record_count, row.files_total, row.files_read) == (0, 12, 0)
+
+
+def test_report_with_a_sub_query(table):
+    sub = "SELECT flight_id FROM flights WHERE flight_month = '2026-01' AND dep_delay = "
+    sub += "(SELECT max(dep_delay) FROM flights WHERE flight_month = '2026-02')"
+    row = write_named(run_named(table, "flights", {"sub": sub}), None).first()
+    assert row.record_count > 0
+    assert (row.files_total, row.files_read) == (24, 2)
+
+
+def test_report_of_a_cached_table_leaves_files_open(table):
+    cached = table.filter("flight_month = '2026-01'").cache()
+    query = {"some": "SELECT flight_id FROM flights WHERE dep_delay > 45"}
+    named = run_named(cached, "flights", query)
+    assert "InMemoryTableScan" in plan(named.outputs["some"])
+    assert "InMemoryTableScan" in plan(cached)
+    row = write_named(named, None).first()
+    cached.unpersist()
+    assert row.record_count > 0 and row.files_read is None and row.pushed_filters is None
+
+
 def test_report_of_two_scans(table):
     both = "SELECT flight_id FROM flights WHERE flight_month = '2026-01' UNION ALL "
     both += "SELECT flight_id FROM flights WHERE flight_month = '2026-02'"

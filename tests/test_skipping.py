@@ -9,6 +9,8 @@ from lakejobs.plans.report import scan_facts
 from lakejobs.sources.skipping import row_test, skipping_scan, write_zone_map, zone_map
 from lakejobs.sources.tables import rebuild_partitioned
 
+from plan_text import plan
+
 COLUMNS = ["a", "b", "s"]
 
 
@@ -87,6 +89,19 @@ def test_files_read(spark, clustered, conditions, files):
     assert scan_facts(scan).files == files
 
 
+def test_no_sort_over_the_rows(spark, folder):
+    df = spark.range(10).withColumn("p", F.lit("x"))
+    rebuild_partitioned(df, f"{folder}/t", "p")
+    shown = plan(zone_map(spark.read.parquet(f"{folder}/t"), ["id"], partition_columns=("p",)))
+    assert "Sort" not in shown and shown.count("HashAggregate") == 2
+
+
+def test_fewer_names_go_into_the_plan(spark, clustered):
+    most = skipping_scan(spark, *clustered, [("a", ">=", 100)])
+    assert "NOT" in plan(most) and plan(most).count("part-000") < 6
+    assert scan_facts(most).files == 11
+
+
 def test_only_statistics_columns_are_read(spark, clustered):
     facts = scan_facts(zone_map(spark.read.parquet(clustered[0]), ["a"]))
     assert facts.columns == ["a"]
@@ -109,9 +124,10 @@ def test_new_and_changed_files_are_read(spark, folder):
 def test_partition_values_with_special_characters(spark, folder):
     path, zones = f"{folder}/t", f"{folder}/map"
     keys = ["a b", "c:d", "e'f", "g%h", "i\\j", "k=l", "[m]*"]
-    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "p STRING, n INT")
+    df = spark.createDataFrame([(k, i) for i, k in enumerate([*keys, None])], "p STRING, n INT")
     rebuild_partitioned(df, path, "p")
-    write_zone_map(spark.read.parquet(path), ["n", "p"], zones)
+    write_zone_map(spark.read.parquet(path), ["n"], zones, partition_columns=("p",))
+    assert rows(skipping_scan(spark, path, zones, [("p", "is_null", None)])) == [(7, None)]
     for i, key in enumerate(keys):
         by_number = skipping_scan(spark, path, zones, [("n", "=", i)])
         assert scan_facts(by_number).files == 1
