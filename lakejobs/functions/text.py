@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +62,8 @@ def _unix_lines(text: Column) -> Column:
     are passed through."""
     one_char = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     changed = F.translate(one_char, LINE_ENDS, "\n" * len(LINE_ENDS))
-    return F.when(F.rlike(text, F.lit(f"[{LINE_ENDS[1:]}]")), changed).otherwise(text)
+    found = [F.contains(text, F.lit(end)) for end in LINE_ENDS[1:]]
+    return F.when(reduce(Column.__or__, found), changed).otherwise(text)
 
 
 def _statement(chunk: Column) -> Column:

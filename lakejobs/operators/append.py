@@ -105,20 +105,26 @@ def append_with_rejects(
 
     Returns the numbers of rows seen and rejected. Both are counted while the
     good rows are written. The input is read again only if some row was
-    rejected, so it should be cheap to read, such as files.
+    rejected, so it should be cheap to read, such as files. An input that is
+    not the same the second time is an error, since a row could get lost.
     """
     judged = judge(df, schema, rules)
-    seen = Observation()
-    counted = judged.observe(
-        seen,
-        F.count(F.lit(1)).alias("rows"),
-        F.count("reject_reason").alias("rejected"),
-    )
-    append_rows(accepted(counted, schema), table)
-    counts = seen.get
-    if counts["rejected"]:
-        append_rows(rejected(judged), rejects_table)
-    return counts["rows"], counts["rejected"]
+
+    def counted() -> tuple[Observation, DataFrame]:
+        # Counting above the checks also has Spark run them once per row, where
+        # it would otherwise test in the filter and again for the result.
+        seen = Observation()
+        rows, bad = F.count(F.lit(1)), F.count("reject_reason")
+        return seen, judged.observe(seen, rows.alias("rows"), bad.alias("rejected"))
+
+    first, rows = counted()
+    append_rows(accepted(rows, schema), table)
+    if first.get["rejected"]:
+        second, rows = counted()
+        append_rows(rejected(rows), rejects_table)
+        if first.get != second.get:
+            raise RuntimeError(f"input changed between passes: {first.get}, then {second.get}")
+    return first.get["rows"], first.get["rejected"]
 
 
 def append_verified(

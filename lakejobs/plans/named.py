@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -73,14 +74,12 @@ def run_named(df: DataFrame, table: str, queries: dict[str, str]) -> NamedOutput
 
 def tagged_json(named: NamedOutputs) -> DataFrame:
     """All output rows in one frame: ``name`` and the row as JSON."""
+    none = named.source.sparkSession.createDataFrame([], "name STRING, record STRING")
     parts = [
         df.select(F.lit(name).alias("name"), F.to_json(F.struct("*")).alias("record"))
         for name, df in named.outputs.items()
     ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.union(part)
-    return union
+    return reduce(DataFrame.union, parts) if parts else none
 
 
 def write_named(named: NamedOutputs, path: str | None, file_format: str = "json") -> DataFrame:

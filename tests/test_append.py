@@ -140,3 +140,20 @@ def test_convert_numbers_equals_try_cast(spark):
     for kind in (ShortType(), IntegerType(), LongType()):
         got = df.select(convert(n, LongType(), kind).alias("a"), n.try_cast(kind).alias("b"))
         assert got.filter("NOT (a <=> b)").count() == 0
+
+
+def test_input_that_changes_is_noticed(spark, folder, monkeypatch):
+    import lakejobs.operators.append as module
+
+    df = spark.createDataFrame([("1", "a"), ("x", "b")], "id STRING, msg STRING")
+    both = [judge(df, SINK), judge(df.limit(1), SINK)]
+
+    class Changing:
+        """A judged input that has fewer rows when it is read again."""
+
+        def observe(self, *metrics):
+            return both.pop(0).observe(*metrics)
+
+    monkeypatch.setattr(module, "judge", lambda *_: Changing())
+    with pytest.raises(RuntimeError, match="changed"):
+        append_with_rejects(df, f"{folder}/t", SINK, f"{folder}/r")
