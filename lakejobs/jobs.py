@@ -6,8 +6,6 @@ DataFrame. Jobs that write do so below ``scratch_dir`` and read back.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -61,7 +59,8 @@ LITERAL_SUPPLIERS = [
     (-3, "Literal supplier three", 2, 0.0),
 ]
 
-SHIPPED_FROM, SHIPPED_TO = dt.datetime(1997, 3, 1), dt.datetime(1997, 4, 30)
+# As text, which reads the same in every time zone.
+SHIPPED_FROM, SHIPPED_TO = "1997-03-01 00:00:00", "1997-04-30 00:00:00"
 
 SINK = StructType().add("id", "integer").add("msg", "string").add("source", "string")
 SINK.add("ts", "string")
