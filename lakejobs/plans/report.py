@@ -1,8 +1,9 @@
 """What a query will read: files, partitions, pushed filters, columns.
 
 This is the only module that looks at the physical plan through the JVM
-bridge. Without the bridge (Spark Connect), and for tables that are cached or
-read by another source than Spark's file sources, these fields are null.
+bridge. Without the bridge (Spark Connect) and for cached tables these fields
+are null. Tables of catalog plug-ins describe their own scans: columns and
+filters are reported, files and partitions are null.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ class ScanFacts:
     """Totals over all file scans of a plan."""
 
     scans: int
-    files: int
-    partitions: int
+    files: int | None
+    partitions: int | None
     columns: list[str]
     partition_filters: str
     pushed_filters: str
@@ -29,6 +30,9 @@ def _items(scala_seq) -> list:
     return [scala_seq.apply(i) for i in range(scala_seq.size())]
 
 
+# Scans of Spark's own file sources, and of catalog plug-ins.
+FILES, PLUG_IN = "FileSourceScanExec", "BatchScanExec"
+
 # Plan leaves that read no table.
 NO_TABLE = {
     "LocalTableScanExec",
@@ -40,8 +44,8 @@ NO_TABLE = {
 }
 
 
-def _file_scans(plan) -> list | None:
-    """The file scan nodes below ``plan``, also under adaptive stages and in
+def _scans(plan) -> list | None:
+    """The scan nodes below ``plan``, also under adaptive stages and in
     sub-queries; None if it reads something else, such as a cached table."""
     found, todo, seen = [], [plan], set()
     while todo:
@@ -56,7 +60,7 @@ def _file_scans(plan) -> list | None:
             todo.append(node.executedPlan())
         elif kind.endswith("QueryStageExec"):
             todo.append(node.plan())
-        elif kind == "FileSourceScanExec":
+        elif kind in (FILES, PLUG_IN):
             found.append(node)
         else:
             children = _items(node.children())
@@ -77,18 +81,21 @@ def scan_facts(df: DataFrame) -> ScanFacts | None:
     cannot be known."""
     if not hasattr(df, "_jdf"):
         return None
-    scans = _file_scans(df._jdf.queryExecution().executedPlan())
+    scans = _scans(df._jdf.queryExecution().executedPlan())
     if scans is None:
         return None
-    chosen = [scan.selectedPartitions() for scan in scans]
-    columns = [name for scan in scans for name in scan.requiredSchema().fieldNames()]
+    files = [s for s in scans if s.getClass().getSimpleName() == FILES]
+    others = [s.scan() for s in scans if s.getClass().getSimpleName() == PLUG_IN]
+    chosen = [scan.selectedPartitions() for scan in files]
+    schemas = [s.requiredSchema() for s in files] + [s.readSchema() for s in others]
+    pushed = [_metadata(s, "PushedFilters") for s in files] + [s.description() for s in others]
     return ScanFacts(
         scans=len(scans),
-        files=sum(p.totalNumberOfFiles() for p in chosen),
-        partitions=sum(p.partitionCount() for p in chosen),
-        columns=list(dict.fromkeys(columns)),
-        partition_filters="; ".join(_metadata(s, "PartitionFilters") for s in scans),
-        pushed_filters="; ".join(_metadata(s, "PushedFilters") for s in scans),
+        files=None if others else sum(p.totalNumberOfFiles() for p in chosen),
+        partitions=None if others else sum(p.partitionCount() for p in chosen),
+        columns=list(dict.fromkeys(name for s in schemas for name in s.fieldNames())),
+        partition_filters="; ".join(_metadata(s, "PartitionFilters") for s in files),
+        pushed_filters="; ".join(pushed),
     )
 
 
@@ -107,15 +114,15 @@ def report_row(
     table; a query that scans it twice could have read twice as much."""
     namespace, _, bare = table.rpartition(".")
     head = (name, query, records, namespace or None, bare)
-    if facts is None or whole is None:
+    if facts is None:
         return (*head, *[None] * 9)
+    told = (*head, facts.partition_filters, facts.pushed_filters, facts.columns)
+    if whole is None or facts.files is None or whole.files is None:
+        return (*told, *[None] * 6)
     times = max(facts.scans, 1)
     files, partitions = whole.files * times, whole.partitions * times
     return (
-        *head,
-        facts.partition_filters,
-        facts.pushed_filters,
-        facts.columns,
+        *told,
         files,
         facts.files,
         files - facts.files,

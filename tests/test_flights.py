@@ -126,6 +126,24 @@ def test_report_of_a_cached_table_leaves_files_open(table):
     assert row.record_count > 0 and row.files_read is None and row.pushed_filters is None
 
 
+def test_report_of_a_plug_in_source(spark, table, folder):
+    table.filter("flight_month = '2026-01'").write.parquet(f"{folder}/t")
+    key = "spark.sql.sources.useV1SourceList"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "")
+    try:
+        source = spark.read.parquet(f"{folder}/t")
+        named = run_named(source, "demo.flights", {"delayed": QUERIES["delayed"]})
+        row = write_named(named, None).first()
+    finally:
+        spark.conf.set(key, before)
+    assert "BatchScan" in plan(source)
+    assert row.record_count == 500
+    assert row.read_columns == ["flight_id", "carrier_code", "dep_delay"]
+    assert "GreaterThan(dep_delay,45)" in row.pushed_filters
+    assert row.files_read is None and row.files_total is None and row.partitions_read is None
+
+
 def test_report_of_two_scans(table):
     both = "SELECT flight_id FROM flights WHERE flight_month = '2026-01' UNION ALL "
     both += "SELECT flight_id FROM flights WHERE flight_month = '2026-02'"
