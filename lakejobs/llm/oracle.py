@@ -53,4 +53,18 @@ FROM base LEFT JOIN dist c ON c.rid = base.rid AND c.kind = 'class' LEFT JOIN di
 """
 
 
-ORACLE = {"op1_quality_rules": _quality()}
+MIXING = f"""
+WITH d AS (SELECT doc_id, source, len({WORDS.format("text")}) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+s AS (SELECT source, sum(size) AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+k AS (SELECT *, sum(source_size) OVER () * 1.5 - coalesce(sum(2.0 * source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS budget,
+  sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_weight FROM s),
+level AS (SELECT max(budget::DOUBLE / rest_weight::DOUBLE) AS lvl FROM k WHERE budget / rest_weight * weight <= 2.0 * source_size),
+t AS (SELECT source, source_size::BIGINT AS source_size, least(2.0 * source_size::DOUBLE, coalesce(lvl, 1e300) * weight::DOUBLE) AS target FROM s CROSS JOIN level),
+c AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT source, h, size, sum(size) AS words FROM c GROUP BY ALL),
+m AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY h, size ROWS UNBOUNDED PRECEDING) - words / 2 AS middle FROM g)
+SELECT doc_id, c.size::BIGINT AS size, source_size, target, (c.size * (whole + (middle < target - whole * source_size)::INT))::BIGINT AS taken
+FROM c JOIN m ON c.source IS NOT DISTINCT FROM m.source AND c.h = m.h AND c.size = m.size
+"""
+
+ORACLE = {"op1_quality_rules": _quality(), "op8_mixing": MIXING}

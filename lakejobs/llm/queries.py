@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakejobs.llm import quality
+from lakejobs.llm import mixing, quality
+from lakejobs.llm.common import written
 from lakejobs.session import load
 
 
@@ -15,4 +17,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *counts, "base_failed", "kept")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its size, its source's size and target, and the words taken."""
+    rows = mixing.sized(load(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    rows = written(rows.withColumn("row", F.struct("row.doc_id")), "mix-rows")
+    weights = mixing.cycled_weights(rows.select("source").distinct(), [3, 1, 2])
+    mixed = mixing.decide(rows, written(mixing.plan(rows, weights), "mix-plan"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op8_mixing": op8_mixing}
