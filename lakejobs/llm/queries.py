@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.llm import mixing, quality
+from lakejobs.llm import mixing, neardup, quality
 from lakejobs.llm.common import written
 from lakejobs.session import load
 
@@ -17,6 +17,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *counts, "base_failed", "kept")
 
 
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set and the smallest id it is linked with."""
+    found = neardup.groups(load(spark, sf_dir, "documents"), width=3, percent=85)
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its size, its source's size and target, and the words taken."""
     rows = mixing.sized(load(spark, sf_dir, "documents"), "doc_id", "source", "text")
@@ -26,4 +33,4 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op8_mixing": op8_mixing}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op8_mixing": op8_mixing}
