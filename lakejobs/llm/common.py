@@ -9,6 +9,8 @@ from lakejobs.session import scratch_dir
 
 #: Runs of these separate words, in Java's, DuckDB's and Python's expressions alike.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Bits of the fixed-size filter (16 MB at most) that spares rows a shuffle.
+FILTER_BITS = 2**27
 
 
 def words(text: Column) -> Column:
@@ -28,3 +30,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Adds ``likely``: false where the key is surely not in the first column of ``ids``.
+
+    A bitmap of fixed size, so that it can be broadcast, whatever the number of ids.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    marks = ids.select(slot(F.col(ids.columns[0]).cast("long")).alias("p"))
+    marks = marks.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    p = slot(rows[key].cast("long"))
+    place = F.bitmap_bit_position(p).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    out = rows.join(F.broadcast(marks), F.bitmap_bucket_number(p) == F.col("bucket"), "left")
+    return out.withColumn("likely", F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))).drop("bucket", "bits")

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakejobs.llm.common import written
+from lakejobs.llm.common import marked, written
 from lakejobs.llm.components import components
 from lakejobs.llm.sets import as_sets, sketched
 
@@ -35,8 +35,6 @@ PERCENT = 80
 MISS = 1e-9
 #: Bands at most; the rows of a band follow from it and the threshold.
 MAX_BANDS = 56
-#: Bits of the fixed-size filter (16 MB) that spares texts without candidates.
-FILTER_BITS = 2**27
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -60,21 +58,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
-def _marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Adds ``likely``: false where the key is surely not among the ``id`` rows.
-
-    A bitmap of fixed size, so that it can be broadcast, whatever the number of ids.
-    """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    marks = ids.select(slot(F.col("id")).alias("p"))
-    marks = marks.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    p = slot(rows[key].cast("long"))
-    place = F.bitmap_bit_position(p).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    out = rows.join(F.broadcast(marks), F.bitmap_bucket_number(p) == F.col("bucket"), "left")
-    return out.withColumn("likely", F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))).drop("bucket", "bits")
-
-
 def _rare_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share one of their rarest shingles.
 
@@ -124,7 +107,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     pair = member.join(centre, "key").filter("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("c"))
     pair = pair.groupBy("node").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre"))
     nodes = member.select("node").distinct()
-    likely = _marked(texts, "id", nodes.withColumnRenamed("node", "id")).filter("likely").select("id", "text")
+    likely = marked(texts, "id", nodes).filter("likely").select("id", "text")
     likely = likely.join(nodes, F.col("id") == F.col("node"), "left_semi")
     sets = written(likely.mapInArrow(as_sets(width), "node long, n long, k long, s array<long>"), "sets")
     links = written(_confirmed(pair.select(F.col("node").alias("a"), F.col("centre").alias("b")), sets, percent), "links")
@@ -147,7 +130,7 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     """One document of each group, with the columns it came with."""
     found = groups(docs, key, text, width, percent)
     gone = written(found.filter("id <> component_id").select("id").distinct(), "gone")
-    rows = _marked(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].cast("long").alias("key")), "key", gone)
+    rows = marked(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].cast("long").alias("key")), "key", gone)
     sure = rows.filter("NOT likely")
     rest = rows.filter("likely").join(gone, F.col("key") == F.col("id"), "left_anti")
     return sure.unionByName(rest).select("row.*")

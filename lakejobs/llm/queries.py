@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.llm import mixing, neardup, quality
+from lakejobs.llm import linededup, mixing, neardup, quality
 from lakejobs.llm.common import written
 from lakejobs.session import load
 
@@ -24,6 +24,16 @@ def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of lines, and the numbers of those removed."""
+    docs = load(spark, sf_dir, "documents")
+    gone = linededup.removals(docs).groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("nos"))
+    lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    out = lines.join(gone, lines["doc_id"] == gone["doc"], "left")
+    n = F.coalesce(F.size("nos"), F.lit(0)).cast("long")
+    return out.select("doc_id", "n_lines", n.alias("n_removed"), F.coalesce(F.array_join("nos", ","), F.lit("")).alias("removed"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its size, its source's size and target, and the words taken."""
     rows = mixing.sized(load(spark, sf_dir, "documents"), "doc_id", "source", "text")
@@ -33,4 +43,4 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op8_mixing": op8_mixing}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op6_line_dedup": op6_line_dedup, "op8_mixing": op8_mixing}
