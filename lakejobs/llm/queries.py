@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.llm import linededup, mixing, neardup, quality
+from lakejobs.llm import decontam, linededup, mixing, neardup, quality
 from lakejobs.llm.common import written
 from lakejobs.session import load
 
@@ -24,6 +24,15 @@ def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that were found in it."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.scan(docs, load(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item"])))
+    out = found.select("row.doc_id", items.alias("items"), F.array_min(F.transform("hits", lambda x: x["edits"])).alias("least_edits"))
+    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"), "least_edits")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its number of lines, and the numbers of those removed."""
     docs = load(spark, sf_dir, "documents")
@@ -43,4 +52,4 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op6_line_dedup": op6_line_dedup, "op8_mixing": op8_mixing}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op6_line_dedup": op6_line_dedup, "op8_mixing": op8_mixing}
