@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lakejobs.llm import quality
+from lakejobs.llm import quality, urls
+from lakejobs.llm.queries import URL_RULES
 
 WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -67,4 +68,43 @@ SELECT doc_id, c.size::BIGINT AS size, source_size, target, (c.size * (whole + (
 FROM c JOIN m ON c.source IS NOT DISTINCT FROM m.source AND c.h = m.h AND c.size = m.size
 """
 
-ORACLE = {"op1_quality_rules": _quality(), "op8_mixing": MIXING}
+def _urls() -> str:
+    """The tree unrolled, one step per level of the deepest path that is told apart."""
+    rule = verdict = "NULL"
+    for what, host, path in sorted(URL_RULES, key=lambda r: len(r[1] + r[2])):
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+        rule = f"CASE WHEN {fits} THEN '{host + path}' ELSE {rule} END"
+        verdict = f"CASE WHEN {fits} THEN '{what}' ELSE {verdict} END"
+    seg = "x"
+    for pattern, name in urls.FORMS:
+        seg = f"regexp_replace({seg}, '^{pattern}($|[.])', '{name}\\1')"
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    url = "coalesce(regexp_extract(url, '(?s)^.*?://{}', 1), '')"
+    host, path = low.format(url.format("([^/?#]*)")), url.format("[^/?#]*([^?#]*)")
+    levels, last = [], "t0"
+    for k in range(1, urls.DEPTH + 1):
+        levels.append(f"""
+s{k} AS (SELECT *, form[{k}] AS seg FROM {last}),
+c{k} AS (SELECT host, template, seg, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM s{k} WHERE seg IS NOT NULL GROUP BY ALL),
+m{k} AS (SELECT *, count(*) OVER w AS names, count(*) FILTER (n = 1) OVER w AS once, sum(labelled) OVER w AS al, sum(bad) OVER w AS ab FROM c{k} WINDOW w AS (PARTITION BY host, template)),
+d{k} AS (SELECT host, template, seg, CASE
+  WHEN names > {urls.MAX_NAMES} AND once > {urls.ONCE_SHARE} * names OR labelled = 0 THEN '*'
+  WHEN al - labelled = 0 THEN seg
+  WHEN abs(bad / labelled - (ab - bad) / (al - labelled)) <= {urls.Z} * sqrt((ab / al) * (1 - ab / al) * (1 / labelled + 1 / (al - labelled))) THEN '*'
+  ELSE seg END AS part FROM m{k}),
+t{k} AS (SELECT s.host, form, n, labelled, bad, CASE WHEN part IS NULL THEN s.template ELSE s.template || '/' || part END AS template
+  FROM s{k} s LEFT JOIN d{k} d ON s.host = d.host AND s.template = d.template AND s.seg = d.seg)""")
+        last = f"t{k}"
+    return f"""
+WITH r AS (SELECT page_id, {host} AS host, {path} AS path FROM pages),
+p AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: {seg}) AS parts FROM r),
+f AS (SELECT *, CASE WHEN len(parts) > {urls.DEPTH} THEN list_append(parts[1:{urls.DEPTH - 1}], '**') ELSE parts END AS form, {rule} AS rule, {verdict} AS ruled FROM p),
+t0 AS (SELECT host, form, count(*) AS n, count(ruled) AS labelled, coalesce(sum((ruled = 'block')::INT), 0) AS bad, '' AS template FROM f GROUP BY host, form),
+{", ".join(levels)},
+q AS (SELECT host, template, (sum(bad) + {urls.PRIOR * urls.WEIGHT}) / (sum(labelled) + {urls.WEIGHT}) AS share FROM {last} GROUP BY ALL)
+SELECT page_id, f.host AS host, path, rule, t.template AS template, coalesce(ruled, CASE WHEN share >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM f JOIN {last} t ON f.host = t.host AND f.form = t.form JOIN q ON q.host = t.host AND q.template = t.template
+"""
+
+
+ORACLE = {"op1_quality_rules": _quality(), "op5_url_filter": _urls(), "op8_mixing": MIXING}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.llm import decontam, linededup, mixing, neardup, quality
+from lakejobs.llm import decontam, linededup, mixing, neardup, quality, urls
 from lakejobs.llm.common import written
 from lakejobs.session import load
 
@@ -33,6 +33,17 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"), "least_edits")
 
 
+#: The rules of the URL filter: verdict, host and path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its host, path, the rule that fits and the verdict."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urls.judge(pages, URL_RULES)
+    return judged.select("row.page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its number of lines, and the numbers of those removed."""
     docs = load(spark, sf_dir, "documents")
@@ -52,4 +63,4 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op6_line_dedup": op6_line_dedup, "op8_mixing": op8_mixing}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup, "op8_mixing": op8_mixing}
