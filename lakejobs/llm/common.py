@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakejobs.session import scratch_dir
@@ -27,9 +27,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     df.write.parquet(path)
+    removed_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    """Has an existing scratch folder removed when the driver's JVM ends."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:

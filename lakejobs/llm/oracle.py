@@ -107,4 +107,16 @@ FROM f JOIN {last} t ON f.host = t.host AND f.form = t.form JOIN q ON q.host = t
 """
 
 
-ORACLE = {"op1_quality_rules": _quality(), "op5_url_filter": _urls(), "op8_mixing": MIXING}
+#: Base 32 from the hexadecimal digest: five digits are four letters.
+BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1)::INTEGER, 1)), '')"
+
+WARC = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first, count(*) OVER (PARTITION BY h) AS copies FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, {BASE32} AS payload_digest, true AS intact,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM m
+"""
+
+ORACLE = {"op1_quality_rules": _quality(), "op5_url_filter": _urls(), "op7_warc": WARC, "op8_mixing": MIXING}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.llm import decontam, linededup, mixing, neardup, quality, urls
+from lakejobs.llm import decontam, linededup, mixing, neardup, quality, urls, warc
 from lakejobs.llm.common import written
-from lakejobs.session import load
+from lakejobs.session import load, scratch_dir
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", n.alias("n_removed"), F.coalesce(F.array_join("nos", ","), F.lit("")).alias("removed"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record was read back from the archives."""
+    archives = warc.write(load(spark, sf_dir, "pages"), scratch_dir(spark, "warc"))
+    records = warc.read(archives, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its size, its source's size and target, and the words taken."""
     rows = mixing.sized(load(spark, sf_dir, "documents"), "doc_id", "source", "text")
@@ -63,4 +70,4 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup, "op8_mixing": op8_mixing}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup, "op7_warc": op7_warc, "op8_mixing": op8_mixing}
