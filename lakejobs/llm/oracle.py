@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakejobs.llm import quality, urls
+from lakejobs.llm import quality, spans, urls
 from lakejobs.llm.queries import URL_RULES
 
 WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -119,4 +119,22 @@ SELECT page_id, n::BIGINT AS payload_bytes, {BASE32} AS payload_digest, true AS
 FROM m
 """
 
-ORACLE = {"op1_quality_rules": _quality(), "op5_url_filter": _urls(), "op7_warc": WARC, "op8_mixing": MIXING}
+SPANS = f"""
+WITH d AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(coalesce(text, ''), '({spans.END})', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part FROM d),
+k AS (SELECT doc_id, i, {WORDS.format("lower(part)")} AS w FROM s),
+c AS (SELECT doc_id, i, len(w) AS n, array_to_string(w, ' ') AS key, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM k),
+e AS (SELECT a.doc_id, a.i, min(CASE WHEN a.n >= {spans.LONG_WORDS} THEN a.i ELSE b.i END) AS j
+  FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + {spans.MIN_WORDS} + 1
+  WHERE a.n > 0 AND (a.n >= {spans.LONG_WORDS} OR b.i > a.i AND b.total - a.total + a.n >= {spans.MIN_WORDS}) GROUP BY ALL),
+r AS (SELECT e.doc_id, e.i, e.j, string_agg(c.key, chr(10) ORDER BY c.i) AS content FROM e JOIN c ON c.doc_id = e.doc_id AND c.i BETWEEN e.i AND e.j GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS place FROM r),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM f WHERE place > 1),
+o AS (SELECT s.doc_id, count(*) AS n_sentences, count(g.i) AS n_removed, coalesce(string_agg(part, '' ORDER BY s.i) FILTER (g.i IS NULL), '') AS new
+  FROM s LEFT JOIN g ON s.doc_id = g.doc_id AND s.i = g.i GROUP BY s.doc_id)
+SELECT d.doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  CASE WHEN n_removed > 0 THEN new ELSE text END AS text
+FROM d LEFT JOIN o ON d.doc_id = o.doc_id
+"""
+
+ORACLE = {"op1_quality_rules": _quality(), "op4_sentence_spans": SPANS, "op5_url_filter": _urls(), "op7_warc": WARC, "op8_mixing": MIXING}

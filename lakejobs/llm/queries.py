@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.llm import decontam, linededup, mixing, neardup, quality, urls, warc
+from lakejobs.llm import decontam, linededup, mixing, neardup, quality, spans, urls, warc
 from lakejobs.llm.common import written
 from lakejobs.session import load, scratch_dir
 
@@ -33,6 +33,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"), "least_edits")
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its numbers of sentences, all and removed, and the text that is left."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.rewrite(docs).select("row.doc_id", "n_sentences", "n_removed", F.col("new").alias("text"))
+
+
 #: The rules of the URL filter: verdict, host and path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -70,4 +76,4 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup, "op7_warc": op7_warc, "op8_mixing": op8_mixing}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op4_sentence_spans": op4_sentence_spans, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup, "op7_warc": op7_warc, "op8_mixing": op8_mixing}
