@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.llm import decontam, linededup, mixing, neardup, quality, spans, urls, warc
+from lakejobs.llm import decontam, linededup, mixing, neardup, pii, quality, spans, urls, warc
 from lakejobs.llm.common import written
 from lakejobs.session import load, scratch_dir
 
@@ -76,4 +76,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op4_sentence_spans": op4_sentence_spans, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup, "op7_warc": op7_warc, "op8_mixing": op8_mixing}
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its counts of personal data, and all spans."""
+    docs = load(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs)).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op4_sentence_spans": op4_sentence_spans, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_personal_data": op9_personal_data}
