@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.llm import decontam, linededup, mixing, neardup, pii, quality, spans, urls, warc
+from lakejobs.llm import decontam, licenses, linededup, mixing, neardup, pii, quality, spans, urls, warc
 from lakejobs.llm.common import written
 from lakejobs.session import load, scratch_dir
 
@@ -82,4 +82,18 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs)).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op4_sentence_spans": op4_sentence_spans, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_personal_data": op9_personal_data}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its paragraphs about rights: how many, which families, unknown ones."""
+    docs = load(spark, sf_dir, "documents")
+    found = licenses.scan(docs).filter(F.col("family") != licenses.NONE)
+    found = found.select("key", "paragraph", "family").distinct().groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_notices"),
+        F.count_if(F.col("family") == "unknown").alias("n_unknown"),
+        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
+    )
+    out = docs.select("doc_id").join(found, docs["doc_id"].eqNullSafe(found["key"]), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("doc_id", zero("n_notices"), zero("n_unknown"), F.coalesce("families", F.lit("")).alias("families"))
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op4_sentence_spans": op4_sentence_spans, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_personal_data": op9_personal_data, "op10_license_scan": op10_license_scan}
