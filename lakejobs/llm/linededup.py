@@ -20,7 +20,7 @@ give empty results. Lines are named by 64-bit hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakejobs.llm import lines
@@ -31,21 +31,28 @@ EDITS = 2
 MIN_CHARS = 20
 
 
+def _near(a: str, b: str, edits: int) -> Column:
+    """Whether lines with ``chars`` and ``parity`` can be within the edits at all."""
+    flips = [F.bit_count(F.col(f"parity{a}")[k].bitwiseXOR(F.col(f"parity{b}")[k])) for k in range(lines.PARITY_WORDS)]
+    return (F.abs(F.col(f"chars{a}") - F.col(f"chars{b}")) <= edits) & (sum(flips[1:], flips[0]) <= 4 * edits)
+
+
+def _numbered(df: DataFrame, number: str, same: list[str]) -> DataFrame:
+    return df.select(*same, *[F.col(c).alias(f"{c}{number}") for c in df.columns if c not in same])
+
+
 def _close(pairs: DataFrame, info: DataFrame, edits: int) -> DataFrame:
     """The pairs (a, b) of line names whose texts are within the edits."""
-    one = info.select(F.col("name").alias("a"), F.col("line").alias("line1"), F.col("chars").alias("c1"), F.col("parity").alias("p1"))
-    two = info.select(F.col("name").alias("b"), F.col("line").alias("line2"), F.col("chars").alias("c2"), F.col("parity").alias("p2"))
-    near = (F.abs(F.col("c1") - F.col("c2")) <= edits) & (F.bit_count(F.col("p1").bitwiseXOR(F.col("p2"))) <= 4 * edits)
-    one_known = pairs.join(one, "a")
-    both = one_known.join(two, (one_known["b"] == two["b"]) & near).drop(two["b"])
+    known = pairs.join(_numbered(info, "1", []), F.col("a") == F.col("name1"))
+    both = known.join(_numbered(info, "2", []), (F.col("b") == F.col("name2")) & _near("1", "2", edits))
     return both.select("a", "b", "line1", "line2").mapInArrow(lines.close_pairs(edits), "a long, b long")
 
 
 def classes(texts: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
     """(name, label) of the lines of (id, text) that are linked with others."""
-    signed = texts.mapInArrow(lines.signature_rows(least, edits), "sig long, name long")
-    shared = signed.groupBy("sig").agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low < high")
-    shared = written(shared.select("sig", F.col("low").alias("centre")), "shared-signatures")
+    signed = written(texts.mapInArrow(lines.signature_rows(least, edits), "sig long, name long, own boolean"), "signatures")
+    shared = signed.groupBy("sig").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.min(F.when(F.col("own"), F.col("name"))).alias("centre"))
+    shared = written(shared.filter("low < high AND centre IS NOT NULL").select("sig", "centre"), "shared-signatures")
     member = marked(signed, "sig", shared).filter("likely").drop("likely")
     member = written(member.join(shared, "sig").distinct(), "members")
 
@@ -53,22 +60,23 @@ def classes(texts: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> Dat
     found = texts.mapInArrow(lines.line_rows(least), "name long, line string")
     found = marked(found, "name", names).filter("likely").drop("likely").join(names, "name", "left_semi")
     info = found.groupBy("name").agg(F.first("line").alias("line"))
-    info = written(info.mapInArrow(lines.with_parity, "name long, line string, chars int, parity long"), "line-info")
+    info = written(info.mapInArrow(lines.with_parity, "name long, line string, chars int, parity array<long>"), "line-info")
 
     star = member.filter("name <> centre").select(F.col("name").alias("a"), F.col("centre").alias("b")).distinct()
     links = written(_close(star, info, edits), "line-links")
 
     label = written(components(links).withColumnRenamed("node", "name"), "line-components")
-    member = member.join(label, "name", "left").select("sig", "name", F.coalesce("label", "name").alias("label"))
+    member = member.join(label, "name", "left").select("sig", "name", "own", F.coalesce("label", "name").alias("label"))
     open_sigs = member.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
     # A bucket of two was settled by its one pair.
     open_sigs = open_sigs.filter("low < high AND n > 2").select("sig")
     rest = member.join(open_sigs, "sig", "left_semi").join(info.select("name", "chars", "parity"), "name")
     rest = written(rest, "open-members")
-    one = rest.select("sig", *[F.col(c).alias(f"{c}1") for c in ("name", "label", "chars", "parity")])
-    two = rest.select("sig", *[F.col(c).alias(f"{c}2") for c in ("name", "label", "chars", "parity")])
-    near = (F.abs(F.col("chars1") - F.col("chars2")) <= edits) & (F.bit_count(F.col("parity1").bitwiseXOR(F.col("parity2"))) <= 4 * edits)
-    pairs = one.join(two, "sig").filter((F.col("name1") < F.col("name2")) & (F.col("label1") != F.col("label2")) & near)
+    # A signature finds a pair by the shorter line's own segment.
+    one, two = _numbered(rest.filter("own"), "1", ["sig"]), _numbered(rest, "2", ["sig"])
+    shorter = (F.col("chars1") < F.col("chars2")) | ((F.col("chars1") == F.col("chars2")) & (F.col("name1") < F.col("name2")))
+    other = (F.col("name1") != F.col("name2")) & (F.col("label1") != F.col("label2"))
+    pairs = one.join(two, "sig").filter(shorter & other & _near("1", "2", edits))
     pairs = pairs.select(F.col("name1").alias("a"), F.col("name2").alias("b")).distinct()
     links = links.unionByName(written(_close(pairs, info, edits), "more-line-links"))
     return components(links).withColumnRenamed("node", "name")
@@ -81,7 +89,8 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: in
     places = written(texts.mapInArrow(lines.occurrences(least), "doc long, no long, name long"), "line-places")
     placed = places.join(label, "name", "left").select("doc", "no", "name", F.coalesce("label", "name").alias("label"))
     first = placed.groupBy("label").agg(F.min(F.struct("doc", "no")).alias("first"), F.max(F.struct("doc", "no")).alias("last"))
-    first = first.filter("first <> last").select("label", "first")
+    # Stored, so that the join below may split a label with very many places.
+    first = written(first.filter("first <> last").select("label", "first"), "first-places")
     return placed.join(first, "label").filter(F.struct("doc", "no") != F.col("first")).select("doc", "no", "name")
 
 

@@ -16,30 +16,41 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:k]), sizes[k]) for k in range(parts)]
 
 
-def signatures(line: str, edits: int) -> set[int]:
-    """Hashes of (indexed length, segment number, text): the line's own segments, and
-    the substrings that may equal a segment of a line shorter by up to ``edits``.
+def signatures(line: str, edits: int) -> dict[int, bool]:
+    """Hashes of (indexed length, segment number, text), true for the line's own segments.
 
-    If two lines are within ``edits`` edits, some segment of the shorter one is left
-    untouched with few enough edits on either side of it; that bounds by how much
-    its place can have moved, so the probes of one length are few.
+    The others are the substrings that may equal a segment of a line shorter by up
+    to ``edits``. If two lines are within ``edits`` edits, some segment of the
+    shorter one is left untouched with few enough edits on either side of it; that
+    bounds by how much its place can have moved, so the probes of one length are few.
     """
-    wide, n, out = line.encode("utf-32-le", "surrogatepass"), len(line), set()
+    wide, n, out = line.encode("utf-32-le", "surrogatepass"), len(line), {}
+    digest = xxhash.xxh3_64_intdigest
     for less in range(min(edits, n) + 1):
         for k, (start, size) in enumerate(segments(n - less, edits)):
             low = max(start - k, start + less - (edits - k), 0)
             high = min(start + k, start + less + (edits - k), n - size)
             seed = (n - less) * (edits + 1) + k
-            out.update(xxhash.xxh3_64_intdigest(wide[4 * at : 4 * (at + size)], seed) for at in range(low, high + 1))
+            for at in range(low, high + 1):
+                sig = digest(wide[4 * at : 4 * (at + size)], seed)
+                if not less and at == start:
+                    out[sig] = True
+                else:
+                    out.setdefault(sig, False)
     return out
 
 
-def parity(line: str) -> int:
-    """Parities of the counts of letter pairs in 64 classes. An edit flips at most 4 of them."""
+#: Classes of letter pairs, in words of 64 bits.
+PARITY_WORDS = 4
+
+
+def parity(line: str) -> list[int]:
+    """Parities of the counts of letter pairs by class. An edit flips at most 4 of them."""
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     pairs = ((codes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (codes[1:] * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x165667B19E3779F9)
-    counts = np.bincount((pairs >> np.uint64(58)).astype(np.int64), minlength=64) & 1
-    return int(np.packbits(counts.astype(np.uint8)).view(np.int64)[0])
+    classes = (pairs >> np.uint64(32)).astype(np.int64) % (64 * PARITY_WORDS)
+    counts = np.bincount(classes, minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(counts.astype(np.uint8)).view(np.int64).tolist()
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -109,7 +120,7 @@ def _batched(rows: Iterator[tuple], columns: list[str], size: int = 20_000) -> I
     def out() -> pa.RecordBatch:
         arrays = []
         for name, values in zip(columns, zip(*part)):
-            arrays.append(pa.array(values) if name in ("line", "doc", "no", "a", "b") else signed(values))
+            arrays.append(pa.array(values) if name in ("line", "doc", "no", "own") else signed(values))
         return pa.RecordBatch.from_arrays(arrays, columns)
 
     for row in rows:
@@ -135,7 +146,7 @@ def occurrences(least: int):
 
 
 def signature_rows(least: int, edits: int):
-    """(id, text) to (sig, name); a line is signed once per task's run of batches."""
+    """(id, text) to (sig, name, own), each line once per batch."""
 
     def rows(batches):
         for batch in batches:
@@ -146,10 +157,10 @@ def signature_rows(least: int, edits: int):
                         name = name_of(line)
                         if name not in seen:
                             seen.add(name)
-                            for sig in signatures(line, edits):
-                                yield sig, name
+                            for sig, own in signatures(line, edits).items():
+                                yield sig, name, own
 
-    return lambda batches: _batched(rows(batches), ["sig", "name"])
+    return lambda batches: _batched(rows(batches), ["sig", "name", "own"])
 
 
 def line_rows(least: int):
@@ -174,7 +185,7 @@ def with_parity(batches):
     for batch in batches:
         lines = batch.column("line").to_pylist()
         chars = pa.array([len(x) for x in lines], pa.int32())
-        bits = pa.array([parity(x) for x in lines], pa.int64())
+        bits = pa.array([parity(x) for x in lines], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("line"), chars, bits], ["name", "line", "chars", "parity"])
 
 
