@@ -53,11 +53,11 @@ def convert(column: Column, have: DataType, want: DataType) -> Column:
     if isinstance(have, StringType):
         few, no_more = SAFE_DIGITS[kind], SAFE_DIGITS["bigint"]
         return (
-            F.when(F.rlike(column, F.lit(f"^[+-]?[0-9]{{1,{few}}}$")), column.cast(want))
+            F.when(F.rlike(column, F.lit(f"^[+-]?[0-9]{{1,{few}}}\\z")), column.try_cast(want))
             .when(F.rlike(column, F.lit("[^0-9+\\-\\x00-\\x20\\x7f]")), F.lit(None))
             .when(
-                F.rlike(column, F.lit(f"^[+-]?[0-9]{{1,{no_more}}}$")),
-                narrow(column.cast("bigint")),
+                F.rlike(column, F.lit(f"^[+-]?[0-9]{{1,{no_more}}}\\z")),
+                narrow(column.try_cast("bigint")),
             )
             .otherwise(column.try_cast(want))
         )

@@ -6,6 +6,8 @@ A table is named either by a catalog name (``ns.table`` or
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,12 +59,60 @@ def create_table(
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING {file_format}{partitioned}")
 
 
-def append_rows(df: DataFrame, table: str) -> None:
-    """Append rows whose columns are already in table order (see ``align``)."""
-    if _is_path(table):
-        df.write.mode("append").parquet(table)
-    else:
-        df.write.insertInto(table)
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """The partition columns of a folder, from the names of its sub-folders.
+
+    One sub-folder per level is looked into. A folder that is absent or empty has
+    none.
+    """
+    here = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: list[str] = []
+    while fs.exists(here):
+        below = [s.getPath() for s in fs.listStatus(here) if s.isDirectory()]
+        named = [p for p in below if "=" in p.getName() and not p.getName().startswith(("_", "."))]
+        if not named:
+            break
+        here = named[0]
+        found.append(unescaped(here.getName().partition("=")[0]))
+    return found
+
+
+def unescaped(name: str) -> str:
+    """A partition column as it is called, from a folder's name."""
+    return re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), name)
+
+
+def append_rows(df: DataFrame, table: str, partition_by: list[str] | None = None) -> None:
+    """Append rows to a table, each column to the one of its name.
+
+    A folder is written in the partitions that it has. ``partition_by`` gives them
+    for a new folder; for one that exists it must be what is there. A catalog
+    table gets its columns in its own order, and must have exactly these columns.
+    """
+    spark = df.sparkSession
+    if not _is_path(table):
+        own = spark.table(table).columns
+        if sorted(map(str.lower, own)) != sorted(map(str.lower, df.columns)):
+            raise ValueError(f"{table} has the columns {own}, the rows {df.columns}")
+        if partition_by is not None:
+            raise ValueError(f"{table} is a catalog table, which knows its partitions")
+        df.select(*[df[c] for c in own]).write.insertInto(table)
+        return
+    there = partition_columns(spark, table)
+    if partition_by is None:
+        partition_by = there
+    elif partition_by != there and not _is_empty(spark, table):
+        raise ValueError(f"{table} is partitioned by {there}, not {partition_by}")
+    if not set(partition_by) <= set(df.columns):
+        raise ValueError(f"partition columns {partition_by} are not all in the rows: {df.columns}")
+    df.write.mode("append").partitionBy(*partition_by).parquet(table)
+
+
+def _is_empty(spark: SparkSession, path: str) -> bool:
+    here = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not fs.exists(here) or not fs.listStatus(here)
 
 
 def cluster_by(df: DataFrame, column: str) -> DataFrame:
@@ -87,7 +137,8 @@ def rebuild_partitioned(df: DataFrame, table: str, column: str, clustered: bool
     they are, without a shuffle.
     """
     source = df if clustered else cluster_by(df, column)
-    writer = source.write.mode("overwrite").partitionBy(column)
+    # Static, or old values would stay where the session overwrites dynamically.
+    writer = source.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(column)
     if _is_path(table):
         writer.parquet(table)
     else:

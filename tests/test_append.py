@@ -13,6 +13,7 @@ from lakejobs.operators.append import (
     judge,
 )
 from lakejobs.sources.jsonrows import read_records
+from lakejobs.sources.tables import append_rows, create_table, partition_columns
 from lakejobs.sources.tables import read_table
 
 SINK = StructType().add("id", "integer").add("msg", "string")
@@ -114,8 +115,34 @@ def test_records_from_json_files(spark, folder):
     assert rows(read_table(spark, f"{folder}/t")) == [(1, "a"), (2, "b"), (3, "c")]
 
 
+def test_append_keeps_the_partitions_of_a_folder(spark, folder):
+    first = spark.createDataFrame([("A", "p1", "B")], "a STRING, p STRING, b STRING")
+    append_rows(first, f"{folder}/t", partition_by=["p"])
+    append_by_name(first.select("b", "p", "a"), f"{folder}/t", first.schema)
+    other = spark.createDataFrame([("p2", "D", "C")], "p STRING, b STRING, a STRING")
+    append_by_name(other, f"{folder}/t", first.schema)
+    found = sorted(map(tuple, read_table(spark, f"{folder}/t").select("a", "p", "b").collect()))
+    assert found == [("A", "p1", "B"), ("A", "p1", "B"), ("C", "p2", "D")]
+    assert partition_columns(spark, f"{folder}/t") == ["p"]
+    assert partition_columns(spark, f"{folder}/none") == []
+    with pytest.raises(ValueError, match="partitioned by"):
+        append_rows(first, f"{folder}/t", partition_by=["a"])
+    with pytest.raises(ValueError, match="not all in the rows"):
+        append_rows(first.drop("p"), f"{folder}/t")
+
+
+def test_append_to_a_partitioned_catalog_table_goes_by_name(spark):
+    create_table(spark, "by_name_p", "a STRING, p STRING, b STRING", "p")
+    rows = spark.createDataFrame([("A", "P", "B")], "a STRING, p STRING, b STRING")
+    append_by_name(rows, "by_name_p", rows.schema)
+    append_rows(rows.select("p", "b", "a"), "by_name_p")
+    found = spark.table("by_name_p").select("a", "p", "b").collect()
+    spark.sql("DROP TABLE by_name_p")
+    assert [tuple(r) for r in found] == [("A", "P", "B")] * 2
+
+
 NUMBER_LIKE = st.one_of(
-    st.text(alphabet="0123456789+-. \t\n\x00\x1f\x7fex ٣", max_size=24),
+    st.text(alphabet="0123456789+-. \t\n\x00\x1f\x7fex ٣" + "\x85\u2028\u2029", max_size=24),
     st.integers(-(2**70), 2**70).map(str),
     st.integers(-(2**17), 2**17).map(lambda n: f" {n}\n"),
     st.integers(0, 99).map(lambda n: str(n).zfill(30)),
