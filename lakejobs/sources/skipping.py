@@ -8,11 +8,22 @@ and largest value and the number of nulls. A predicate is a list of conditions
 
 from __future__ import annotations
 
+from datetime import date
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    BooleanType,
+    DataType,
+    DateType,
+    NumericType,
+    StringType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from lakejobs.functions.values import sql_text
 
@@ -86,9 +97,33 @@ def row_test(conditions: list[Condition]) -> Column:
     return reduce(Column.__and__, [test(*c) for c in conditions], F.lit(True))
 
 
-def file_test(conditions: list[Condition], mapped: list[str]) -> Column:
+def in_order_of(kind: DataType, value: Any) -> bool:
+    """Whether values compare with the column in the order its bounds were made in.
+
+    Text against a number, for one, compares as numbers, while the bounds of a text
+    column are the first and last as text.
+    """
+    if isinstance(kind, BooleanType) or isinstance(value, bool):
+        return isinstance(kind, BooleanType) and isinstance(value, bool)
+    if isinstance(kind, NumericType):
+        return isinstance(value, (int, float, Decimal))
+    if isinstance(kind, StringType):
+        return isinstance(value, str)
+    return isinstance(kind, (DateType, TimestampType, TimestampNTZType)) and isinstance(value, date)
+
+
+def file_test(conditions: list[Condition], kinds: dict[str, DataType]) -> Column:
     """Whether a file can hold a matching row, judged by its zone map row.
-    Conditions on columns without statistics keep every file."""
+
+    ``kinds`` has the types of the columns with statistics. Conditions on others,
+    and on values of a type with another order, keep every file.
+    """
+
+    def usable(name: str, op: str, value: Any) -> bool:
+        if name not in kinds or op in ("is_null", "is_not_null"):
+            return name in kinds
+        values = value if op == "in" else [value]
+        return all(in_order_of(kinds[name], v) for v in values)
 
     def test(name: str, op: str, value: Any) -> Column:
         low, high = F.col(f"{name}__min"), F.col(f"{name}__max")
@@ -115,7 +150,7 @@ def file_test(conditions: list[Condition], mapped: list[str]) -> Column:
         raise ValueError(f"unknown operator {op!r}")
 
     # A file whose values are all null has no bounds: no comparison can match.
-    tests = [F.coalesce(test(*c), F.lit(False)) for c in conditions if c[0] in mapped]
+    tests = [F.coalesce(test(*c), F.lit(False)) for c in conditions if usable(*c)]
     return reduce(Column.__and__, tests, F.lit(True))
 
 
@@ -136,9 +171,10 @@ def matching_files(
     """
     stats = spark.read.parquet(map_path)
     mapped = [c.removesuffix("__nulls") for c in stats.columns if c.endswith("__nulls")]
+    kinds = {c: stats.schema[f"{c}__min"].dataType for c in mapped}
     joined = list_files(spark, path).join(stats, FILE_KEYS, "left")
     unknown = F.col("rows").isNull()
-    return joined.select("file_path", (unknown | file_test(conditions, mapped)).alias("keep"))
+    return joined.select("file_path", (unknown | file_test(conditions, kinds)).alias("keep"))
 
 
 def skipping_scan(
