@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from lakejobs.plans.named import run_named, write_named
 from lakejobs.plans.profile import namespaces, table_summary, tables
@@ -17,11 +17,16 @@ from lakejobs.session import get_session
 from lakejobs.sources.tables import read_table
 
 
+def show_all(df: DataFrame, vertical: bool = False) -> None:
+    """Print every row of a short result."""
+    df.show(max(df.count(), 1), truncate=False, vertical=vertical)
+
+
 def check(spark: SparkSession, args: argparse.Namespace) -> None:
     """Namespaces, the tables of one, the metadata and rows of a table."""
-    namespaces(spark, args.catalog).show(truncate=False)
+    show_all(namespaces(spark, args.catalog))
     prefix = f"{args.catalog}." if args.catalog else ""
-    tables(spark, f"{prefix}{args.namespace}").show(truncate=False)
+    show_all(tables(spark, f"{prefix}{args.namespace}"))
     table = f"{prefix}{args.namespace}.{args.table}"
     table_summary(spark, table).show(truncate=False)
     rows = read_table(spark, table)
@@ -44,8 +49,8 @@ def script(spark: SparkSession, args: argparse.Namespace) -> None:
 def query(spark: SparkSession, args: argparse.Namespace) -> None:
     queries = dict(pair.split("=", 1) for pair in args.sql)
     named = run_named(read_table(spark, args.table), args.name or args.table, queries)
-    write_named(named, args.out, args.format).show(truncate=False, vertical=True)
-    named.failure().show(truncate=False)
+    show_all(write_named(named, args.out, args.format), vertical=True)
+    show_all(named.failure())
 
 
 def parser() -> argparse.ArgumentParser:

@@ -196,8 +196,8 @@ ORACLE = {
         FROM (SELECT *, 5000 - o_orderkey AS v FROM orders)""",
     "flights_pruned": f"{FLIGHTS} {FLIGHT_QUERIES['pruned']}",
     "flights_delayed": f"{FLIGHTS} {FLIGHT_QUERIES['delayed']}",
-    "flights_carrier_stats": f"{FLIGHTS} SELECT carrier_code, count(*) AS n, "
-    "round(avg(dep_delay), 6) AS avg_delay FROM flights GROUP BY carrier_code",
+    "flights_carrier_stats": f"{FLIGHTS} SELECT carrier_code, origin, count(*) AS legs, "
+    "round(avg(distance), 6) AS mean_distance FROM flights GROUP BY carrier_code, origin",
     "named_queries": """
         SELECT 'all' AS name, '{"l_orderkey":' || l_orderkey || ',"l_linenumber":' ||
             l_linenumber || ',"l_returnflag":"' || l_returnflag || '"}' AS record FROM lineitem
@@ -216,9 +216,9 @@ ORACLE = {
         f"CAST(12 AS BIGINT) AS partitions_total, CAST({read} AS BIGINT) AS partitions_read, "
         f"CAST({12 - read} AS BIGINT) AS partitions_skipped"
         for name, columns, read in [
-            ("pruned", "carrier_code,origin,dest,dep_delay", 1),
-            ("delayed", "flight_id,carrier_code,dep_delay", 12),
-            ("carrier_stats", "carrier_code,dep_delay", 12),
+            ("pruned", "flight_num,dest,distance", 1),
+            ("delayed", "flight_num,origin,dep_delay,distance", 12),
+            ("carrier_stats", "carrier_code,origin,distance", 12),
         ]
     ),
     "zone_map": """
@@ -230,6 +230,10 @@ ORACLE = {
     f"FROM lineitem WHERE l_shipdate >= TIMESTAMP '{SHIPPED_FROM}' "
     f"AND l_shipdate < TIMESTAMP '{SHIPPED_TO}' AND l_quantity > 10",
     "append_by_name": "SELECT * FROM supplier",
+    "append_partitioned": " UNION ALL ".join(
+        ["SELECT event_id, event_type, value, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events"]
+        * 2
+    ),
     "append_with_rejects": ROUTED,
     "append_verify": f"""{INCOMING_SQL}
         SELECT count(*) AS input_rows, count(*) - count(reject_reason) AS rows_before,

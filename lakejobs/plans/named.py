@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
+from threading import Lock
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -15,12 +16,14 @@ from pyspark.sql import functions as F
 from lakejobs.plans.report import report_frame, report_row, scan_facts
 
 OUTPUTS_AT_ONCE = 4
+#: The name that the SQL calls a table by belongs to the whole session.
+ANALYSIS = Lock()
 
 
 @dataclass
 class NamedOutputs:
     """The outputs by name, and ``(name, query, message)`` of those that
-    failed analysis."""
+    failed analysis, or later while running."""
 
     table: str
     source: DataFrame
@@ -63,12 +66,12 @@ def run_named(df: DataFrame, table: str, queries: dict[str, str]) -> NamedOutput
     spark: SparkSession = df.sparkSession
     outputs: dict[str, DataFrame] = {}
     failures = []
-    with _visible_as(df, table.rpartition(".")[2]):
+    with ANALYSIS, _visible_as(df, table.rpartition(".")[2]):
         for name, query in queries.items():
             try:
                 outputs[name] = spark.sql(query)
             except PySparkException as error:
-                failures.append((name, query, str(error).splitlines()[0]))
+                failures.append((name, query, str(error)))
     return NamedOutputs(table, df, queries, outputs, failures)
 
 
@@ -88,7 +91,8 @@ def write_named(named: NamedOutputs, path: str | None, file_format: str = "json"
 
     The rows are counted while they are written, all of them, in however many
     files they end up. A few outputs are written at a time, so that one with
-    few tasks does not leave the cluster idle.
+    few tasks does not leave the cluster idle. An output that fails while it runs
+    is added to the failures; the others are written and reported.
     """
     whole = scan_facts(named.source)
 
@@ -104,6 +108,15 @@ def write_named(named: NamedOutputs, path: str | None, file_format: str = "json"
         query = named.queries[name]
         return report_row(name, query, written.get["n"], named.table, facts, whole)
 
+    def attempt(name: str) -> tuple | Exception:
+        try:
+            return write(name)
+        except Exception as error:
+            return error
+
     with ThreadPoolExecutor(OUTPUTS_AT_ONCE) as pool:
-        rows = list(pool.map(write, named.outputs))
+        results = dict(zip(named.outputs, pool.map(attempt, named.outputs)))
+    failed = {name: r for name, r in results.items() if isinstance(r, Exception)}
+    named.failures += [(name, named.queries[name], str(error)) for name, error in failed.items()]
+    rows = [r for name, r in results.items() if name not in failed]
     return report_frame(named.source.sparkSession, rows)

@@ -15,18 +15,18 @@ def test_seed_check_and_query(spark, folder, capsys):
         [
             "query",
             "cli.airlines",
-            "all=SELECT * FROM airlines",
-            "filtered=SELECT code, description, origin, dest FROM airlines WHERE code = 'AA'",
-            "by_dest=SELECT dest, COUNT(*) AS n FROM airlines GROUP BY dest",
+            "every=SELECT code, year_id FROM airlines",
+            "west=SELECT description, origin FROM airlines WHERE dest = 'SEA'",
+            "newest=SELECT origin, max(year_id) AS last FROM airlines GROUP BY origin",
             "broken=SELECT nothing FROM airlines",
             "--out",
             folder,
         ]
     )
     shown = capsys.readouterr().out
-    assert "EqualTo(code,AA)" in shown and "nothing" in shown
-    found = {n: spark.read.json(f"{folder}/{n}").count() for n in ("all", "filtered", "by_dest")}
-    assert found == {"all": 3, "filtered": 1, "by_dest": 3}
+    assert "EqualTo(dest,SEA)" in shown and "nothing" in shown
+    found = {n: spark.read.json(f"{folder}/{n}").count() for n in ("every", "west", "newest")}
+    assert found == {"every": 3, "west": 1, "newest": 3}
 
 
 def test_script_file(spark, folder, capsys):

@@ -1,5 +1,7 @@
 """The generated table against the values its rules imply."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,16 +12,19 @@ from lakejobs.sources.tables import read_table, rebuild_partitioned
 from plan_text import plan
 
 QUERIES = {
-    "pruned": "SELECT carrier_code, origin, dest, dep_delay FROM flights "
-    "WHERE flight_month = '2026-03'",
-    "delayed": "SELECT flight_id, carrier_code, dep_delay FROM flights "
-    "WHERE dep_delay > 45 AND carrier_code = 'AA'",
-    "carrier_stats": "SELECT carrier_code, COUNT(*) AS n, AVG(dep_delay) AS avg_delay "
+    "july": "SELECT flight_num, dest FROM flights WHERE flight_month = '2026-07'",
+    "far": "SELECT flight_id, dest, distance FROM flights "
+    "WHERE distance >= 3200 AND dest = 'MIA'",
+    "by_carrier": "SELECT carrier_code, min(dep_delay) AS best, sum(dep_delay) / count(*) AS mean "
     "FROM flights GROUP BY carrier_code",
     "nothing": "SELECT flight_id FROM flights WHERE flight_month = '2027-01'",
 }
 
 
+# By the rules of the generated columns: destination 3 of 4, 200 + 3 r modulo 4800.
+FAR = 12 * sum(r % 4 == 3 and 200 + 3 * r % 4800 >= 3200 for r in range(10_000))
+
+
 @pytest.fixture(scope="module")
 def table(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("flights")) + "/t"
@@ -59,17 +64,17 @@ def test_counts_per_group(table):
     assert set(counts("flight_month").values()) == {10_000}
 
 
-def test_carrier_stats(table):
-    stats = run_named(table, "flights", QUERIES).outputs["carrier_stats"].collect()
-    assert {r.carrier_code: (r.n, r.avg_delay) for r in stats} == {
-        "AA": (15_000, 41.0),
-        "AS": (15_000, 48.0),
-        "B6": (15_000, 41.0),
-        "DL": (15_000, 48.0),
-        "F9": (15_000, 62.0),
-        "NK": (15_000, 55.0),
-        "UA": (15_000, 55.0),
-        "WN": (15_000, 62.0),
+def test_group_per_carrier(table):
+    stats = run_named(table, "flights", QUERIES).outputs["by_carrier"].collect()
+    assert {r.carrier_code: (r.best, r.mean) for r in stats} == {
+        "AA": (-15, 41.0),
+        "AS": (-8, 48.0),
+        "B6": (-15, 41.0),
+        "DL": (-8, 48.0),
+        "F9": (6, 62.0),
+        "NK": (-1, 55.0),
+        "UA": (-1, 55.0),
+        "WN": (6, 62.0),
     }
 
 
@@ -77,26 +82,26 @@ def test_scan_report(table, spark, folder):
     report = write_named(run_named(table, "demo.flights", QUERIES), folder)
     rows = {r.name: r for r in report.collect()}
     assert {n: r.record_count for n, r in rows.items()} == {
-        "pruned": 10_000,
-        "delayed": 6_000,
-        "carrier_stats": 8,
+        "july": 10_000,
+        "far": FAR,
+        "by_carrier": 8,
         "nothing": 0,
     }
-    pruned = rows["pruned"]
+    pruned = rows["july"]
     assert (pruned.files_total, pruned.files_read, pruned.files_skipped) == (12, 1, 11)
     assert (pruned.partitions_total, pruned.partitions_read) == (12, 1)
     assert (pruned.namespace, pruned.table) == ("demo", "flights")
-    assert "(flight_month = 2026-03)" in pruned.partition_filters
-    delayed = rows["delayed"]
-    assert "GreaterThan(dep_delay,45)" in delayed.pushed_filters
-    assert delayed.read_columns == ["flight_id", "carrier_code", "dep_delay"]
-    assert delayed.files_skipped == 0
+    assert "(flight_month = 2026-07)" in pruned.partition_filters
+    far = rows["far"]
+    assert "GreaterThanOrEqual(distance,3200)" in far.pushed_filters
+    assert far.read_columns == ["flight_id", "dest", "distance"]
+    assert far.files_skipped == 0
     assert rows["nothing"].files_read == 0
-    assert spark.read.json(f"{folder}/delayed").count() == 6_000
+    assert spark.read.json(f"{folder}/far").count() == FAR
 
 
 def test_report_without_output(table):
-    report = write_named(run_named(table, "flights", {"pruned": QUERIES["pruned"]}), None)
+    report = write_named(run_named(table, "flights", {"july": QUERIES["july"]}), None)
     assert report.first().record_count == 10_000
     assert report.first().namespace is None
 
@@ -133,14 +138,14 @@ def test_report_of_a_plug_in_source(spark, table, folder):
     spark.conf.set(key, "")
     try:
         source = spark.read.parquet(f"{folder}/t")
-        named = run_named(source, "demo.flights", {"delayed": QUERIES["delayed"]})
+        named = run_named(source, "demo.flights", {"far": QUERIES["far"]})
         row = write_named(named, None).first()
     finally:
         spark.conf.set(key, before)
     assert "BatchScan" in plan(source)
-    assert row.record_count == 500
-    assert row.read_columns == ["flight_id", "carrier_code", "dep_delay"]
-    assert "GreaterThan(dep_delay,45)" in row.pushed_filters
+    assert row.record_count == FAR // 12
+    assert row.read_columns == ["flight_id", "dest", "distance"]
+    assert "GreaterThanOrEqual(distance,3200)" in row.pushed_filters
     assert row.files_read is None and row.files_total is None and row.partitions_read is None
 
 
@@ -153,13 +158,42 @@ def test_report_of_two_scans(table):
 
 def test_failed_query_does_not_stop_the_others(table):
     bad = {"bad": "SELECT no_such_column FROM flights", "worse": "SELEC 1"}
-    named = run_named(table, "flights", {**bad, "pruned": QUERIES["pruned"]})
-    assert list(named.outputs) == ["pruned"]
+    named = run_named(table, "flights", {**bad, "july": QUERIES["july"]})
+    assert list(named.outputs) == ["july"]
     failure = {r.name: r for r in named.failure().collect()}
     assert failure.keys() == bad.keys()
     assert "no_such_column" in failure["bad"].message
 
 
+def test_output_that_fails_while_running(table, folder):
+    broken = "SELECT raise_error(concat('broken ', dest)) AS x FROM flights WHERE distance > 4000"
+    named = run_named(table, "flights", {"broken": broken, "july": QUERIES["july"]})
+    report = write_named(named, folder).collect()
+    assert [(r.name, r.record_count) for r in report] == [("july", 10_000)]
+    (failure,) = named.failure().collect()
+    assert failure.name == "broken" and "broken " in failure.message
+
+
+def test_one_name_in_many_threads(spark):
+    def total(k):
+        frame = spark.range(k, k + 1).withColumnRenamed("id", "x")
+        return run_named(frame, "t", {"q": "SELECT sum(x) AS s FROM t"}).outputs["q"].first().s
+
+    with ThreadPoolExecutor(8) as pool:
+        assert list(pool.map(total, range(24))) == list(range(24))
+
+
+def test_rebuild_leaves_nothing_behind(spark, folder):
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        for keys in ("xy", "x"):
+            rows = spark.createDataFrame([(1, k) for k in keys], "a INT, p STRING")
+            rebuild_partitioned(rows, f"{folder}/t", "p")
+        assert [r.p for r in spark.read.parquet(f"{folder}/t").collect()] == ["x"]
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+
+
 def test_earlier_view_comes_back(table, spark):
     spark.range(3).createOrReplaceTempView("flights")
     run_named(table, "flights", QUERIES)
