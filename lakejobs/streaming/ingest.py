@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from lakejobs.operators.append import Rule, accepted, judge, rejected
@@ -13,6 +13,48 @@ HOURLY = "3600 seconds"
 METRICS = "ingest"
 
 
+def _batch_row(p) -> tuple:
+    """Batch id, rows in, rows counted on the way out, rows rejected."""
+    metrics = p.observedMetrics.get(METRICS)
+    out, bad = (metrics["rows"], metrics["rejected"]) if metrics else (None, None)
+    return p.batchId, p.numInputRows, out, bad
+
+
+class BatchLog(StreamingQueryListener):
+    """One row per batch of every flow started here, by query and batch id.
+
+    Spark itself keeps the progress of the last batches only.
+    """
+
+    def __init__(self) -> None:
+        self.rows: dict[tuple[str, int], tuple] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows[str(p.id), p.batchId] = _batch_row(p)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+#: The log of each session, by the application it belongs to.
+LOGS: dict[str, BatchLog] = {}
+
+
+def _log(spark: SparkSession) -> BatchLog:
+    application = spark.sparkContext.applicationId
+    if application not in LOGS:
+        LOGS[application] = BatchLog()
+        spark.streams.addListener(LOGS[application])
+    return LOGS[application]
+
+
 def new_files(
     spark: SparkSession,
     path: str,
@@ -65,6 +107,7 @@ def append_stream(
     as they came in; use :func:`accepted_rows` to read them converted. A restart
     with the same checkpoint goes on where the last run ended.
     """
+    _log(stream.sparkSession)
     judged = judge(stream, schema, rules)
     bad = F.col("reject_reason").isNotNull()
     counted = judged.withColumn(
@@ -102,17 +145,20 @@ def append_batches(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/flow={name}/batch_id={batch_id}")
 
+    _log(stream.sparkSession)
     return _scheduled(stream.writeStream.foreachBatch(write), checkpoint, every).start()
 
 
 def progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """One row per recent batch: rows in, rows counted on the way out, rows
-    rejected. Spark keeps a bounded number of them."""
-    rows = []
+    """One row per batch that this application ran of the flow: rows in, rows
+    counted on the way out, rows rejected."""
+    name = str(query.id)
+    rows = {batch: row for (flow, batch), row in _log(spark).rows.items() if flow == name}
+    # The log may lag behind by the batches that Spark still keeps itself.
     for p in query.recentProgress:
-        metrics = p.observedMetrics.get(METRICS)
-        out, bad = (metrics["rows"], metrics["rejected"]) if metrics else (None, None)
-        rows.append((p.batchId, p.numInputRows, out, bad))
+        if not rows.get(p.batchId) or p.numInputRows:
+            rows[p.batchId] = _batch_row(p)
     return spark.createDataFrame(
-        rows, "batch_id BIGINT, rows_in BIGINT, rows_out BIGINT, rejected BIGINT"
+        [rows[batch] for batch in sorted(rows)],
+        "batch_id BIGINT, rows_in BIGINT, rows_out BIGINT, rejected BIGINT",
     )

@@ -2,6 +2,7 @@
 
 import os
 import time
+import time
 
 import pytest
 from pyspark.sql.types import StructType
@@ -48,6 +49,24 @@ def test_restart_adds_only_new_rows(spark, folder):
     assert counts(spark, folder) == (99, 99, 11)
 
 
+def test_progress_remembers_more_batches_than_spark(spark, folder):
+    key = "spark.sql.streaming.numRecentProgressUpdates"
+    spark.conf.set(key, 2)
+    try:
+        add_files(spark, folder, 0, 40, 4)
+        stream = ingest.new_files(spark, f"{folder}/in", RAW, files_per_batch=1)
+        query = ingest.append_stream(stream, f"{folder}/out", f"{folder}/checkpoint", SINK)
+        query.awaitTermination()
+        for _ in range(50):
+            rows = ingest.progress(spark, query).collect()
+            if len(rows) == 4:
+                break
+            time.sleep(0.2)
+        assert sum(r.rows_in for r in rows) == 40
+    finally:
+        spark.conf.unset(key)
+
+
 def batches(spark, folder, name="flow"):
     stream = ingest.new_files(spark, f"{folder}/in", RAW, files_per_batch=1)
     query = ingest.append_batches(stream, f"{folder}/out", f"{folder}/cp-{name}", name)
