@@ -22,7 +22,7 @@ from lakejobs.plans.named import NamedOutputs, run_named, tagged_json, write_nam
 from lakejobs.plans.profile import profile_all
 from lakejobs.session import load, scratch_dir
 from lakejobs.sources import flights as demo
-from lakejobs.sources.jsonrows import as_json, explode_records, read_records, write_records
+from lakejobs.sources.jsonrows import as_json, explode_records, judged_records, read_records, write_records
 from lakejobs.sources.skipping import skipping_scan as read_skipping
 from lakejobs.sources.skipping import write_zone_map, zone_map as file_zones
 from lakejobs.sources.tables import append_rows, read_table
@@ -96,6 +96,11 @@ RECORDS = """CASE
         '{"id":', p_partkey + 1, ',"msg":"', p_brand, '"}]')
     ELSE concat('{"id":', p_partkey, ',"msg":"', p_type, '"}')
     END"""
+DIRTY_RECORDS = """CASE p_partkey % 4
+    WHEN 0 THEN concat('[{"id":', p_partkey, ',"msg":"a"},{"id":', p_partkey, ',"msg":"b"}]')
+    WHEN 1 THEN concat('{"id":', p_partkey, '}')
+    WHEN 2 THEN concat('{"id":"x', p_partkey, '","msg":"c"}')
+    ELSE concat('[{"id":', p_partkey, ',"msg":"d"},') END"""
 SCRIPT = "replace(replace(text, '. ', concat(';', chr(10))), concat(chr(10), 'E'), concat(chr(10), ' -- E'))"
 
 
@@ -407,6 +412,12 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_records(load(spark, sf_dir, "part"), F.expr(RECORDS), fields)
 
 
+def json_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records from texts that are whole, mistyped or cut off, good and bad ones."""
+    fields = StructType().add("id", "long").add("msg", "string")
+    return judged_records(load(spark, sf_dir, "part"), F.expr(DIRTY_RECORDS), fields)
+
+
 def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = jsoncols.sorted_keys(F.expr(RESPONSE), "$.config")
     return load(spark, sf_dir, "customer").select(
@@ -556,6 +567,7 @@ QUERIES = {
     "json_write": json_write,
     "json_rows": json_rows,
     "json_records": json_records,
+    "json_rejects": json_rejects,
     "json_keys": json_keys,
     "json_flags": json_flags,
     "json_items": json_items,

@@ -245,6 +245,14 @@ ORACLE = {
     "json_rows": """
         SELECT '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey ||
             ',"o_orderstatus":"' || o_orderstatus || '"}' AS json FROM orders""",
+    "json_rejects": """
+        SELECT p_partkey AS id, unnest(['a', 'b']) AS msg, NULL::VARCHAR AS rejected
+        FROM part WHERE p_partkey % 4 = 0
+        UNION ALL SELECT p_partkey, NULL, NULL FROM part WHERE p_partkey % 4 = 1
+        UNION ALL SELECT NULL, NULL, '{"id":"x' || p_partkey || '","msg":"c"}'
+        FROM part WHERE p_partkey % 4 = 2
+        UNION ALL SELECT NULL, NULL, '[{"id":' || p_partkey || ',"msg":"d"},'
+        FROM part WHERE p_partkey % 4 = 3""",
     "json_records": f"""
         WITH texts AS (SELECT CAST({RECORDS} AS JSON) AS doc FROM part),
         records AS (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakejobs.functions import jsoncols
-from lakejobs.sources.jsonrows import as_json, explode_records, read_records, write_records
+from lakejobs.sources.jsonrows import as_json, explode_records, rejected_records, read_records, write_records
 
 RESPONSES = {
     '{"config":{"b":"1","a":""}}': (["a", "b"], "1", False),
@@ -59,10 +59,13 @@ def test_item_lists(spark, response):
 
 def test_records_of_text(spark):
     texts = ['[{"id":1,"msg":"a"},{"id":2}]', '{"id":3,"msg":"c","more":1}', "[]", "{", None]
+    texts += ['[{"id":1},', '{"id":"x"}', '[{"id":4},{"id":"y"},null]']
     df = spark.createDataFrame([(t,) for t in texts], "t STRING")
     fields = StructType().add("id", "long").add("msg", "string")
-    found = explode_records(df, F.col("t"), fields).collect()
-    assert {tuple(r) for r in found if r.id is not None} == {(1, "a"), (2, None), (3, "c")}
+    found = sorted(map(tuple, explode_records(df, F.col("t"), fields).collect()), key=repr)
+    assert found == [(1, "a"), (2, None), (3, "c"), (4, None)]
+    bad = {r.rejected for r in rejected_records(df, F.col("t"), fields).collect()}
+    assert bad == {"{", '[{"id":1},', '{"id":"x"}', '{"id":"y"}', "null"}
 
 
 def test_round_trip_keeps_nulls_and_text(spark, folder):
