@@ -222,7 +222,7 @@ def explode_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("r"))
-    return demo.flights(keys, months=12, block=FLIGHT_BLOCK)
+    return demo.flights(keys, months=12, block=FLIGHT_BLOCK, read_once=True)
 
 
 def _flights_table(spark: SparkSession, sf_dir: str) -> DataFrame:

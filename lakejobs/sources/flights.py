@@ -46,13 +46,16 @@ def add_digit(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def flights(rows: DataFrame, months: int = 12, block: int = ROWS_PER_MONTH) -> DataFrame:
+def flights(
+    rows: DataFrame, months: int = 12, block: int = ROWS_PER_MONTH, read_once: bool = False
+) -> DataFrame:
     """Flights for every number ``r`` of ``rows`` in each month.
 
     ``block`` is the distance between the ids of two months; it must exceed the
     largest ``r`` for ids to be unique. Months are the branches of a union, so
     a write by month needs no shuffle, and a filter on the month keeps a single
-    branch of the plan.
+    branch of the plan. Where ``rows`` are read from files, ``read_once`` makes
+    the months in the row instead: one scan, and still no shuffle.
     """
     r = F.col("r")
     every_month = rows.select(
@@ -64,6 +67,18 @@ def flights(rows: DataFrame, months: int = 12, block: int = ROWS_PER_MONTH) -> D
         (F.pmod(r * 7, F.lit(140)) - 15).cast("int").alias("dep_delay"),
         (F.pmod(r * 3, F.lit(4800)) + 200).cast("int").alias("distance"),
     )
+    if read_once:
+        month = F.explode(F.sequence(F.lit(1), F.lit(months))).alias("month")
+        return every_month.select("*", month).select(
+            (F.col("r") + (F.col("month") - 1) * F.lit(block).cast("long")).alias("flight_id"),
+            "carrier_code",
+            "flight_num",
+            "origin",
+            "dest",
+            F.format_string(f"{YEAR}-%02d", "month").alias("flight_month"),
+            "dep_delay",
+            "distance",
+        )
     blocks = [
         every_month.selectExpr(
             f"CAST(r + {(month - 1) * block} AS BIGINT) AS flight_id",

@@ -210,6 +210,14 @@ def test_month_filter_keeps_one_branch_and_no_shuffle(spark):
     assert plan(rows.filter("flight_month = '2026-03'")).count("Range (") == 1
 
 
+def test_months_from_files_take_one_scan(spark, folder):
+    numbers(spark, 100).write.parquet(f"{folder}/n")
+    rows = flights(spark.read.parquet(f"{folder}/n"), read_once=True)
+    assert plan(rows).count("FileScan") == 1 and "Exchange" not in plan(rows)
+    assert sorted(rows.collect()) == sorted(flights(numbers(spark, 100)).collect())
+    assert rows.dtypes == flights(numbers(spark, 100)).dtypes
+
+
 def test_digits_are_not_joined(spark):
     digits = add_digit(add_digit(numbers(spark, 10), "r"), "r")
     assert "Join" not in plan(digits) and "Exchange" not in plan(digits)
