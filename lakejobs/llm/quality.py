@@ -70,6 +70,9 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
         "n_repeat_words",
         F.array(*taken, F.col("sizes")[len(CLASSES)]).alias("n_classes"),
         F.array_append(counts, F.size("w") - F.size("common")).alias("n_common"),
+        # A filter that reads this column stays above the counts. Pushed below, it
+        # would repeat their nested expressions many times over.
+        F.monotonically_increasing_id().alias("at"),
     )
 
 
@@ -84,7 +87,7 @@ def references(profiled: DataFrame) -> DataFrame:
     Columns ref_lang, ref_class, ref_word. Only documents that are long enough
     for a histogram count.
     """
-    rows = profiled.filter(F.col("n_words") >= MIN_HISTOGRAM_WORDS)
+    rows = profiled.filter((F.col("n_words") >= MIN_HISTOGRAM_WORDS) & (F.col("at") >= 0))
     rows = rows.select("lang", _shares("n_classes").alias("c"), _shares("n_common").alias("w"))
     bins = [F.col("c")[k] for k in range(len(CLASSES) + 1)] + [F.col("w")[k] for k in range(len(COMMON_WORDS) + 1)]
     names = [f"b{k}" for k in range(len(bins))]
@@ -164,4 +167,4 @@ def judge_ids(docs: DataFrame, key: str, text: str = "text", lang: str = "lang")
 
 def keep(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return judge(docs, text, lang).filter("kept").select("row.*")
+    return judge(docs, text, lang).filter("kept AND at >= 0").select("row.*")
