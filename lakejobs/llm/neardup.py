@@ -67,7 +67,8 @@ def _rare_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """
     n, first = F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     tokens = sets.join(label, "node").select("node", "label", "n", "k", F.explode("s").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # Stored, so that the join below may split a shingle that very many sets have.
+    often = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shingle-counts")
     tokens = tokens.join(often, "token")
     by_rarity = Window.partitionBy("node", "k").orderBy("df", "token")
     # Shingles that no other set has come before the ones that are left here.
@@ -75,7 +76,7 @@ def _rare_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     prefix = written(tokens.withColumn("at", at).filter(F.col("at") < first).select("token", "node", "label", "n", "at"), "prefixes")
     main = prefix.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     main = main.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    prefix = prefix.join(main.drop("labels"), "token")
+    prefix = prefix.join(written(main.drop("labels"), "shared-prefixes"), "token")
     one = prefix.filter("label <> main").select("token", *[F.col(c).alias(f"{c}1") for c in ("node", "label", "n", "at")])
     two = prefix.select("token", "main", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "at")])
     fits = (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & (
