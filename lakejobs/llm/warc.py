@@ -30,6 +30,8 @@ from lakejobs.llm.records import archived, read_ranges
 
 #: Bytes of an archive that one range covers.
 RANGE = 8 << 20
+#: Ranges are dealt to at most so many tasks for each core.
+TASKS_PER_CORE = 16
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -58,4 +60,7 @@ def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     ranges = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(RANGE).cast("long"))).alias("start"))
     ranges = ranges.withColumn("end", F.least(F.col("start") + RANGE, F.col("bytes")))
     schema = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, intact boolean"
-    return ranges.repartition("path", "start").mapInArrow(read_ranges(with_payload), schema)
+    # A number of tasks by the archives' size, which small rows alone would not tell.
+    total = archives.agg(F.sum(F.ceil(F.col("bytes") / RANGE))).first()[0] or 1
+    tasks = min(total, TASKS_PER_CORE * archives.sparkSession.sparkContext.defaultParallelism)
+    return ranges.repartition(int(tasks), "path", "start").mapInArrow(read_ranges(with_payload), schema)
