@@ -6,9 +6,12 @@ The reference of a language is the mean histogram of its documents, so one long
 document weighs no more than a short one. Short documents are guarded: they have
 too few characters or words for a distance to mean something.
 
-Defined cases: a null or empty text has no words and fails the base rules. A null
-or rare language is compared with the reference of all documents. Repeated rows
-are judged alike. An empty table gives an empty result. All columns of the input
+Defined cases: a null or empty text has no words and fails the base rules. A
+language with ``MIN_LANGUAGE_DOCS`` long documents or ``MIN_LANGUAGE_SHARE`` of them
+has its own reference. A null language is compared with the nearest reference of all.
+So are the classes of a rarer language, whose words are not judged, since none of the
+references speaks for them. Without any reference by language, words are not judged
+and classes are compared with the mean of all documents. Repeated rows are judged alike. An empty table gives an empty result. All columns of the input
 are carried along, whatever their names.
 """
 
@@ -35,8 +38,8 @@ MAX_REPEAT_PERCENT = 50
 MIN_HISTOGRAM_WORDS = 100
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.3
-#: A language with a smaller share of the documents has no reference of its own.
-#: So there are at most 1 / share references, and broadcasting them is safe.
+#: A language with so many long documents, or this share of them, has a reference.
+MIN_LANGUAGE_DOCS = 100
 MIN_LANGUAGE_SHARE = 0.01
 
 
@@ -95,7 +98,7 @@ def references(profiled: DataFrame) -> DataFrame:
     by_lang = written(by_lang, "language-sums")
     every = by_lang.agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).withColumn("lang", F.lit(None).cast("string"))
     least = every.select((F.col("n") * MIN_LANGUAGE_SHARE).alias("least"))
-    own = by_lang.filter("lang IS NOT NULL").join(F.broadcast(least), F.col("n") >= F.col("least")).drop("least")
+    own = by_lang.filter("lang IS NOT NULL").join(F.broadcast(least), (F.col("n") >= F.col("least")) | (F.col("n") >= MIN_LANGUAGE_DOCS)).drop("least")
     means = [F.col(x) / F.col("n") for x in names]
     return own.unionByName(every).filter("n > 0").select(
         F.col("lang").alias("ref_lang"),
@@ -137,17 +140,24 @@ def repeated_words(w: Column, size: int = 3) -> dict[str, Column]:
 def verdicts(profiled: DataFrame, refs: DataFrame) -> DataFrame:
     """The profiled rows with base_failed, class_distance, word_distance and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    own, pooled = refs.filter("ref_lang IS NOT NULL"), refs.filter("ref_lang IS NULL").drop("ref_lang")
-    pooled = pooled.withColumnsRenamed({"ref_class": "all_class", "ref_word": "all_word"})
+    own = refs.filter("ref_lang IS NOT NULL")
+    # All references in one row, for documents that have none of their own.
+    each = F.collect_list(F.when(F.col("ref_lang").isNotNull(), F.struct("ref_class", "ref_word")))
+    every = refs.agg(each.alias("every"), F.first(F.when(F.col("ref_lang").isNull(), F.col("ref_class")), ignorenulls=True).alias("all_class"))
     rows = profiled.withColumn("base_failed", failed)
-    rows = rows.join(F.broadcast(own), F.col("lang") == F.col("ref_lang"), "left").join(F.broadcast(pooled), F.lit(True), "left")
+    # References by language may be many, so they are broadcast only if they are small.
+    rows = rows.join(own, F.col("lang") == F.col("ref_lang"), "left").join(F.broadcast(every), F.lit(True), "left")
+    classes, words_ = _shares("n_classes"), _shares("n_common")
+    nearest_class = F.array_min(F.transform("every", lambda x: js_distance(classes, x["ref_class"])))
+    nearest_word = F.array_min(F.transform("every", lambda x: js_distance(words_, x["ref_word"])))
     rows = rows.withColumns({
-        "class_distance": js_distance(_shares("n_classes"), F.coalesce("ref_class", "all_class")),
-        "word_distance": js_distance(_shares("n_common"), F.coalesce("ref_word", "all_word")),
+        "class_distance": F.when(F.col("ref_lang").isNotNull(), js_distance(classes, F.col("ref_class")))
+        .otherwise(F.coalesce(nearest_class, js_distance(classes, F.col("all_class")))),
+        "word_distance": F.when(F.col("ref_lang").isNotNull(), js_distance(words_, F.col("ref_word"))).when(F.col("lang").isNull(), nearest_word),
     })
     alike = F.coalesce(F.col("class_distance") <= MAX_CLASS_DISTANCE, F.lit(True))
     usual = (F.col("n_words") < MIN_HISTOGRAM_WORDS) | F.coalesce(F.col("word_distance") <= MAX_WORD_DISTANCE, F.lit(True))
-    return rows.withColumn("kept", ~F.col("base_failed") & alike & usual).drop("ref_lang", "ref_class", "ref_word", "all_class", "all_word")
+    return rows.withColumn("kept", ~F.col("base_failed") & alike & usual).drop("ref_lang", "ref_class", "ref_word", "every", "all_class")
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -51,6 +51,21 @@ def test_quality(make_docs):
     assert quality.judge(make_docs(ROWS).limit(0)).collect() == []
 
 
+def test_quality_of_rare_and_null_languages(make_docs):
+    """Clean texts stay in a language of 0.9%, in one of a few documents and in none; symbols do not."""
+    words = {"en": "the of and to in a is that for it", "fr": "le la les et des un du que est pour", "it": "il di che per non con sono della come anche"}
+
+    def text(lang, k):
+        common = words[lang].split()
+        return " ".join(f"{common[(k + i) % 10]} {lang}{k}x{i}" for i in range(60))
+
+    rows = [(k, text("en", k), "en") for k in range(11_000)] + [(20_000 + k, text("fr", k), "fr") for k in range(100)]
+    rows += [(30_000 + k, text("it", k), "it") for k in range(3)] + [(40_000, text("fr", 500), None), (40_001, text("en", 500), None)]
+    rows += [(50_000, " ".join(f"## ** {k}" for k in range(100)), "it"), (50_001, " ".join(f"zz{k}" for k in range(200)), None)]
+    kept = {r.doc_id for r in quality.keep(make_docs(rows)).select("doc_id").collect()}
+    assert kept == {r[0] for r in rows if r[0] < 50_000}
+
+
 def test_quality_counts(make_docs):
     text = "a b c x a b c\na  b\x0bc #|é\n\na  b\x0bc #|é\n a b"
     (r,) = quality.judge(make_docs([(1, text)])).collect()
