@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import random
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +136,21 @@ def test_decontamination(make_docs, bench):
     assert all(not r.hits for r in decontam.scan(docs, bench.limit(0)).collect())
 
 
+def test_decontamination_of_fragments_and_short_items(spark, make_docs):
+    """Fragments of 13 to 30 words from every word on; short items as whole words."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9)))
+    item = [word() for _ in range(60)]
+    filler = lambda: " ".join(f"{word()}x{k}" for k in range(8))
+    docs = [(1000 * size + at, f"{filler()} ({' '.join(item[at : at + size])}). {filler()}") for size in range(13, 31) for at in range(61 - size)]
+    docs += [(1, f"{filler()} {' '.join(item[20:32])} {filler()}"), (2, "So: two  Words, he said"), (3, "two wordsmiths"), (4, "Prime?"), (5, "primes"), (6, "two " + "z " * 9 + "words")]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "Two words"), (3, "prime"), (4, "?!")], "item_id long, text string")
+    hits = {r.row.doc_id: [h.item for h in r.hits] for r in decontam.scan(make_docs(docs), bench).collect()}
+    assert hits == {k: [1] if k >= 13_000 else {2: [2], 4: [3]}.get(k, []) for k, _ in docs}
+    short = bench.filter("item_id = 3")
+    assert sorted(r.row.doc_id for r in decontam.scan(make_docs(docs[-6:]), short).filter("size(hits) > 0").collect()) == [4]
+
+
 @pytest.mark.parametrize("cycle", [[3, 1, 2], [1], [1, 100]])
 def test_mixing(make_docs, cycle):
     rows = [(k, " ".join("w" * (k % 17)) if k % 5 else None, "en", ["a", "B", "é", None, "z"][min(k % 7, 4)]) for k in range(200)]
