@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.llm import decontam, licenses, linededup, mixing, neardup, pii, quality, secretscan, spans, urls, warc
+from lakejobs.llm import decontam, licenses, linededup, mixing, neardup, pii, quality, secretscan, spans, spelling, urls, warc
 from lakejobs.llm.common import written
 from lakejobs.session import load, scratch_dir
 
@@ -96,9 +96,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", zero("n_notices"), zero("n_unknown"), F.coalesce("families", F.lit("")).alias("families"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its form and root."""
+    return spelling.variants(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its counts of secrets, and all spans."""
     return secretscan.find(load(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op4_sentence_spans": op4_sentence_spans, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_personal_data": op9_personal_data, "op10_license_scan": op10_license_scan, "op12_secret_scan": op12_secret_scan}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op4_sentence_spans": op4_sentence_spans, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_personal_data": op9_personal_data, "op10_license_scan": op10_license_scan, "op11_spelling_variants": op11_spelling_variants, "op12_secret_scan": op12_secret_scan}
