@@ -65,7 +65,7 @@ class Ranks:
         codes = np.where(np.arange(STEP) < (place % STEP)[:, None], self.blocks[block], self.letters)
         flat = codes + np.arange(len(place))[:, None] * (self.letters + 1)
         counts = np.bincount(flat.ravel(), minlength=len(place) * (self.letters + 1))
-        return self.stored[block] + counts.reshape(len(place), -1)[:, :-1]
+        return self.stored[block] + counts.reshape(len(place), self.letters + 1)[:, :-1]
 
 
 class Index:
