@@ -67,7 +67,7 @@ def test_the_given_documents(spark, tiny):
 def test_shards_of_any_size(make_docs, shard):
     rng = random.Random(shard)
     word = lambda: "".join(rng.choice("abà") for _ in range(rng.randrange(4, 9)))
-    docs = [(i, " ".join(word() for _ in range(rng.randrange(0, 60)))) for i in range(60)]
+    docs = [(i, " ".join(word() for _ in range(rng.randrange(0, 300)))) for i in range(60)]
     docs += [(100, "ÀBCDEF " * 3 + "aaaaaaa" * 500 + " " + "aaaaaaa" * 500 + " " + "aaaaaaa" * 500), (100, "ÀBCDEF×÷ÿ"), (None, "straße Straße STRASSE straßé"), (7, None), (8, "")]
     df = make_docs(docs, extra=True)
     expected = brute(docs)
