@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.llm import decontam, licenses, linededup, mixing, neardup, pii, quality, secretscan, spans, spelling, urls, warc
+from lakejobs.llm import decontam, licenses, linededup, mixing, neardup, pii, prefixes, quality, secretscan, spans, spelling, urls, warc
 from lakejobs.llm.common import written
 from lakejobs.session import load, scratch_dir
 
@@ -106,4 +106,10 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.find(load(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op4_sentence_spans": op4_sentence_spans, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_personal_data": op9_personal_data, "op10_license_scan": op10_license_scan, "op11_spelling_variants": op11_spelling_variants, "op12_secret_scan": op12_secret_scan}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    nodes = prefixes.trie(load(spark, sf_dir, "conversations"))
+    return nodes.withColumnsRenamed({"conv": "conv_id", "parent_conv": "parent_conv_id", "saved": "saved_tokens", "sha": "ends_sha256"})
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op4_sentence_spans": op4_sentence_spans, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_personal_data": op9_personal_data, "op10_license_scan": op10_license_scan, "op11_spelling_variants": op11_spelling_variants, "op12_secret_scan": op12_secret_scan, "op13_conversation_trie": op13_conversation_trie}
