@@ -19,13 +19,12 @@ from lakejobs.operators.append import (
 )
 from lakejobs.operators.ordering import distinct_sorted, first_match, latest, order_by
 from lakejobs.plans.named import NamedOutputs, run_named, tagged_json, write_named
-from lakejobs.plans.profile import profile_all
+from lakejobs.plans.profile import file_statistics, profile_all
 from lakejobs.session import load, scratch_dir
 from lakejobs.sources import flights as demo
+from lakejobs.sources.clustered import write_clustered
 from lakejobs.sources.jsonrows import as_json, explode_records, judged_records, read_records, write_records
-from lakejobs.sources.skipping import skipping_scan as read_skipping
-from lakejobs.sources.skipping import write_zone_map, zone_map as file_zones
-from lakejobs.sources.tables import append_rows, read_table
+from lakejobs.sources.tables import append_rows, read_table, spread, write_dealt
 from lakejobs.sources.tables import rebuild_partitioned as rebuild
 from lakejobs.streaming import ingest
 
@@ -37,6 +36,8 @@ TABLES = (
 # Distance between the flight ids of two months; far above any order key.
 FLIGHT_BLOCK = 10**12
 
+FILES_PER_MONTH = 3
+
 FLIGHT_QUERIES = {
     "pruned": "SELECT flight_num, dest, distance FROM flights WHERE flight_month = '2026-07'",
     "delayed": "SELECT flight_num, flight_month, dep_delay, distance FROM flights "
@@ -61,6 +62,8 @@ LITERAL_SUPPLIERS = [
 # As text, which reads the same in every time zone.
 SHIPPED_FROM, SHIPPED_TO = "1997-03-01 00:00:00", "1997-04-30 00:00:00"
 
+SHIP_DAYS, PARTS, ORDERS = ("1996-01-01", "1996-06-30"), (20, 120), [7, 64, 320, 999]
+
 SINK = StructType().add("id", "integer").add("msg", "string").add("source", "string")
 SINK.add("ts", "string")
 SINK_RULES = {
@@ -220,13 +223,16 @@ def explode_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Generated tables
 
 
-def _flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _flights(spark: SparkSession, sf_dir: str, read_once: bool = False) -> DataFrame:
+    """Flights for every order key. Branches for the months let a filter on the month
+    make only its own; ``read_once`` reads the keys once where all months are wanted."""
     keys = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("r"))
-    return demo.flights(keys, months=12, block=FLIGHT_BLOCK, read_once=True)
+    keys = spread(keys) if read_once else keys
+    return demo.flights(keys, months=12, block=FLIGHT_BLOCK, read_once=read_once)
 
 
 def _flights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flights = _flights(spark, sf_dir)
+    flights = _flights(spark, sf_dir, read_once=True)
     path = scratch_dir(spark, "flights")
     rebuild(flights, path, "flight_month", clustered=True)
     return read_table(spark, path, flights.schema)
@@ -286,32 +292,26 @@ def named_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = run_named(_flights_table(spark, sf_dir), "demo.flights", FLIGHT_QUERIES)
+    """The report over a table of which the number of files is known."""
+    flights = _flights(spark, sf_dir, read_once=True)
+    path = scratch_dir(spark, "report")
+    write_dealt(flights, path, "flight_month", [f"{demo.YEAR}-{m:02d}" for m in range(1, 13)], FILES_PER_MONTH, "flight_id")
+    named = run_named(read_table(spark, path, flights.schema), "demo.flights", FLIGHT_QUERIES)
     return write_named(named, scratch_dir(spark, "named"))
 
 
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of the report that does not depend on the number of files."""
-    return _report(spark, sf_dir).select(
-        "name",
-        "query",
-        "record_count",
-        "namespace",
-        "table",
-        F.array_join("read_columns", ",").alias("read_columns"),
-        "partitions_total",
-        "partitions_read",
-        "partitions_skipped",
-    )
+    """The whole report: what was pushed down, and what was read as the queries ran."""
+    return _report(spark, sf_dir).withColumn("read_columns", F.array_join("read_columns", ","))
 
 
-# Skipping files
+# Clustered tables
 
 
 def zone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File statistics of events by day, summed up to one row per day."""
     _, events = _events_by_day(spark, sf_dir)
-    files = file_zones(events, ["value"], partition_columns=("day",))
+    files = file_statistics(events, ["value"], partition_columns=("day",))
     return files.groupBy(F.col("day__min").alias("day")).agg(
         F.sum("rows").alias("rows"),
         F.min("value__min").alias("min_value"),
@@ -320,24 +320,45 @@ def zone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def skipping_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two months of lineitem, which was clustered by ship date before. The
-    further sort columns split a date that holds a large share of the rows."""
+def _clustered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem clustered by ship day and part, with bloom filters on the order."""
     lines = load(spark, sf_dir, "lineitem")
+    # Time stamps without a zone are not pushed into Parquet files; dates are.
+    lines = lines.withColumn("ship_day", F.col("l_shipdate").cast("date"))
     path = scratch_dir(spark, "lineitem")
-    lines.repartitionByRange("l_shipdate", "l_orderkey", "l_linenumber").write.parquet(path)
-    zones = scratch_dir(spark, "zones")
-    write_zone_map(read_table(spark, path), ["l_shipdate"], zones)
-    window = [
-        ("l_shipdate", ">=", F.lit(SHIPPED_FROM).cast("timestamp_ntz")),
-        ("l_shipdate", "<", F.lit(SHIPPED_TO).cast("timestamp_ntz")),
-        ("l_quantity", ">", 10.0),
-    ]
-    return read_skipping(spark, path, zones, window).select(
+    write_clustered(lines, path, ["ship_day", "l_partkey"], bloom={"l_orderkey": 1_000_000})
+    return read_table(spark, path)
+
+
+def skipping_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two months of lineitem, by one of the columns that it is clustered by."""
+    day = F.col("ship_day")
+    wanted = (day >= SHIPPED_FROM[:10]) & (day <= SHIPPED_TO[:10]) & (F.col("l_quantity") > 10.0)
+    # The days hold the times asked for, and up to one day more.
+    times = (F.col("l_shipdate") >= F.lit(SHIPPED_FROM).cast("timestamp_ntz")) & (
+        F.col("l_shipdate") < F.lit(SHIPPED_TO).cast("timestamp_ntz")
+    )
+    return _clustered_lines(spark, sf_dir).filter(wanted & times).select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"
     )
 
 
+def clustered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box in both columns that lineitem is clustered by."""
+    day, part = F.col("ship_day"), F.col("l_partkey")
+    box = day.between(*SHIP_DAYS) & part.between(*PARTS)
+    return _clustered_lines(spark, sf_dir).filter(box).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "ship_day", "l_extendedprice"
+    )
+
+
+def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of a few orders, found by bloom filters and dictionaries."""
+    return _clustered_lines(spark, sf_dir).filter(F.col("l_orderkey").isin(ORDERS)).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"
+    )
+
+
 # Appends
 
 
@@ -559,6 +580,8 @@ QUERIES = {
     "scan_report": scan_report,
     "zone_map": zone_map,
     "skipping_scan": skipping_scan,
+    "clustered_scan": clustered_scan,
+    "key_lookup": key_lookup,
     "append_by_name": append_columns,
     "append_partitioned": append_partitioned,
     "append_with_rejects": append_rejects,

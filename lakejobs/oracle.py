@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from lakejobs.functions.text import WHITE_SPACE
 from lakejobs.jobs import (
+    FILES_PER_MONTH,
     FLIGHT_BLOCK,
     FLIGHT_QUERIES,
     INCOMING,
     ITEM_LIST,
     LITERAL_SUPPLIERS,
+    ORDERS,
+    PARTS,
     RECORDS,
     RESPONSE,
     SCRIPT,
+    SHIP_DAYS,
     SHIPPED_FROM,
     SHIPPED_TO,
 )
@@ -212,13 +216,21 @@ ORACLE = {
     + " UNION ALL ".join(
         f"SELECT '{name}' AS name, {_quoted(FLIGHT_QUERIES[name])} AS query, "
         f"(SELECT count(*) FROM ({FLIGHT_QUERIES[name]})) AS record_count, "
-        f"'demo' AS namespace, 'flights' AS \"table\", '{columns}' AS read_columns, "
-        f"CAST(12 AS BIGINT) AS partitions_total, CAST({read} AS BIGINT) AS partitions_read, "
-        f"CAST({12 - read} AS BIGINT) AS partitions_skipped"
-        for name, columns, read in [
-            ("pruned", "flight_num,dest,distance", 1),
-            ("delayed", "flight_num,origin,dep_delay,distance", 12),
-            ("carrier_stats", "carrier_code,origin,distance", 12),
+        f"'demo' AS namespace, 'flights' AS \"table\", {_quoted(partition_filters)} AS partition_filters, "
+        f"{_quoted(pushed)} AS pushed_filters, '{columns}' AS read_columns, "
+        + "".join(
+            f"CAST({12 * n} AS BIGINT) AS {what}_total, CAST({read * n} AS BIGINT) AS {what}_read, "
+            f"CAST({(12 - read) * n} AS BIGINT) AS {what}_skipped, "
+            for what, n in (("files", FILES_PER_MONTH), ("partitions", 1))
+        )
+        + f"(SELECT count(*) * {read} FROM orders) AS rows_read"
+        for name, columns, read, partition_filters, pushed in [
+            ("pruned", "flight_num,dest,distance", 1,
+             "[isnotnull(flight_month), (flight_month = 2026-07)]", "[]"),
+            ("delayed", "flight_num,origin,dep_delay,distance", 12, "[]",
+             "[IsNotNull(origin), IsNotNull(dep_delay), EqualTo(origin,DEN), "
+             "GreaterThanOrEqual(dep_delay,60), LessThanOrEqual(dep_delay,90)]"),
+            ("carrier_stats", "carrier_code,origin,distance", 12, "[]", "[]"),
         ]
     ),
     "zone_map": """
@@ -229,6 +241,11 @@ ORACLE = {
     "skipping_scan": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice "
     f"FROM lineitem WHERE l_shipdate >= TIMESTAMP '{SHIPPED_FROM}' "
     f"AND l_shipdate < TIMESTAMP '{SHIPPED_TO}' AND l_quantity > 10",
+    "clustered_scan": "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE) AS ship_day, "
+    f"l_extendedprice FROM lineitem WHERE l_partkey BETWEEN {PARTS[0]} AND {PARTS[1]} "
+    f"AND CAST(l_shipdate AS DATE) BETWEEN DATE '{SHIP_DAYS[0]}' AND DATE '{SHIP_DAYS[1]}'",
+    "key_lookup": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem "
+    f"WHERE l_orderkey IN ({', '.join(map(str, ORDERS))})",
     "append_by_name": "SELECT * FROM supplier",
     "append_partitioned": " UNION ALL ".join(
         ["SELECT event_id, event_type, value, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events"]

@@ -13,7 +13,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.plans.report import report_frame, report_row, scan_facts
+from lakejobs.plans.report import measured, report_frame, report_row, scan_facts
 
 OUTPUTS_AT_ONCE = 4
 #: The name that the SQL calls a table by belongs to the whole session.
@@ -101,12 +101,13 @@ def write_named(named: NamedOutputs, path: str | None, file_format: str = "json"
         facts = scan_facts(df)
         written = Observation()
         counted = df.observe(written, F.count(F.lit(1)).alias("n"))
-        if path is None:
-            counted.write.format("noop").mode("overwrite").save()
-        else:
-            counted.write.format(file_format).mode("overwrite").save(f"{path}/{name}")
-        query = named.queries[name]
-        return report_row(name, query, written.get["n"], named.table, facts, whole)
+        with measured(df.sparkSession) as run:
+            if path is None:
+                counted.write.format("noop").mode("overwrite").save()
+            else:
+                counted.write.format(file_format).mode("overwrite").save(f"{path}/{name}")
+        query, ran = named.queries[name], run.figures()
+        return report_row(name, query, written.get["n"], named.table, facts, whole, ran)
 
     def attempt(name: str) -> tuple | Exception:
         try:

@@ -16,7 +16,10 @@ from pyspark.sql.types import (
 )
 
 from lakejobs.functions.values import sql_text
-from lakejobs.sources.skipping import list_files
+from lakejobs.sources.tables import list_files
+
+FILE_KEYS = ["file_path", "file_size", "file_modification_time"]
+
 
 def namespaces(spark: SparkSession, catalog: str | None = None) -> DataFrame:
     return spark.sql("SHOW NAMESPACES" + (f" IN {catalog}" if catalog else ""))
@@ -81,6 +84,38 @@ def profile_all(tables_by_name: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, [profile(df, n) for n, df in tables_by_name.items()])
 
 
+def file_statistics(
+    table: DataFrame, columns: list[str], partition_columns: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per file of ``table``: rows, bounds and nulls of the columns, which tell
+    how well the files are clustered. One pass over ``columns`` only; each task reduces
+    a file to one row before the shuffle.
+
+    ``partition_columns`` have one value per file and cost nothing. Bounds of
+    text columns make Spark sort each task's rows by file, so take only those
+    that the table is clustered by.
+    """
+    stats = [F.count(F.lit(1)).alias("rows")]
+    for c in columns:
+        stats += [
+            F.min(c).alias(f"{c}__min"),
+            F.max(c).alias(f"{c}__max"),
+            F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"),
+        ]
+    keys = [F.col(f"_metadata.{k}").alias(k) for k in FILE_KEYS]
+    files = table.groupBy(*keys, *partition_columns).agg(*stats)
+    for p in partition_columns:
+        no_rows = F.lit(0).cast("bigint")
+        files = files.withColumns(
+            {
+                f"{p}__min": F.col(p),
+                f"{p}__max": F.col(p),
+                f"{p}__nulls": F.when(F.col(p).isNull(), F.col("rows")).otherwise(no_rows),
+            }
+        ).drop(p)
+    return files
+
+
 def storage(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Files and bytes of the table at ``path``, from its listing only."""
     return list_files(spark, path).agg(

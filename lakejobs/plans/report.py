@@ -1,7 +1,8 @@
-"""What a query will read: files, partitions, pushed filters, columns.
+"""What a query will read, and what it has read: files, partitions, pushed filters,
+columns, rows.
 
-This is the only module that looks at the physical plan through the JVM
-bridge. Without the bridge (Spark Connect) and for cached tables these fields
+This is the only module that looks at the physical plan and at the figures of finished
+runs through the JVM bridge. Without the bridge (Spark Connect) and for cached tables these fields
 are null. Tables of catalog plug-ins describe their own scans: columns and
 filters are reported, files and partitions are null.
 """
@@ -9,6 +10,9 @@ filters are reported, files and partitions are null.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,36 +103,113 @@ def scan_facts(df: DataFrame) -> ScanFacts | None:
     )
 
 
+@dataclass
+class RunFigures:
+    """What the scans of a finished run have read, summed up; None where unknown."""
+
+    scans: int
+    files_read: int | None
+    rows_read: int | None
+
+
+class Measured:
+    """The runs that were started inside :func:`measured`."""
+
+    def __init__(self, spark: SparkSession, mark: str) -> None:
+        self.spark, self.mark = spark, mark
+
+    def figures(self) -> RunFigures | None:
+        """The figures of the finished runs, from the session's own log of executions,
+        which the last ones stay in. None without the JVM bridge."""
+        if not hasattr(self.spark, "_jsparkSession"):
+            return None
+        # The log hears of a run's end by the listener bus.
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        log = self.spark._jsparkSession.sharedState().statusStore()
+        scans: list[dict[str, int]] = []
+        runs = log.executionsList()
+        for i in reversed(range(runs.size())):
+            run = runs.apply(i)
+            if run.description() == self.mark:
+                scans += self._scans(log, run.executionId())
+            elif scans:
+                break
+
+        def total(name: str) -> int | None:
+            known = [s[name] for s in scans if name in s]
+            return sum(known) if known else None
+
+        return RunFigures(len(scans), total("number of files read"), total("number of output rows"))
+
+    def _scans(self, log, run: int) -> Iterator[dict[str, int]]:
+        values = log.executionMetrics(run)
+        for node in _items(log.planGraph(run).allNodes()):
+            if node.name().startswith(("Scan ", "BatchScan ")):
+                shown = {}
+                for metric in _items(node.metrics()):
+                    value = values.get(metric.accumulatorId())
+                    if value.isDefined() and re.fullmatch("[0-9,]+", value.get()):
+                        shown[metric.name()] = int(value.get().replace(",", ""))
+                yield shown
+
+
+@contextmanager
+def measured(spark: SparkSession) -> Iterator[Measured]:
+    """Marks the runs that this thread starts inside, so that their figures can be told
+    from those of others."""
+    mark = f"measured-{uuid.uuid4().hex}"
+    context = spark.sparkContext if hasattr(spark, "_jsparkSession") else None
+    before = context.getLocalProperty("spark.job.description") if context else None
+    if context:
+        context.setJobDescription(mark)
+    try:
+        yield Measured(spark, mark)
+    finally:
+        if context:
+            context.setLocalProperty("spark.job.description", before)
+
+
 REPORT_COLUMNS = (
     "name STRING, query STRING, record_count BIGINT, namespace STRING, table STRING, "
     "partition_filters STRING, pushed_filters STRING, read_columns ARRAY<STRING>, "
     "files_total BIGINT, files_read BIGINT, files_skipped BIGINT, "
-    "partitions_total BIGINT, partitions_read BIGINT, partitions_skipped BIGINT"
+    "partitions_total BIGINT, partitions_read BIGINT, partitions_skipped BIGINT, rows_read BIGINT"
 )
 
 
 def report_row(
-    name: str, query: str, records: int, table: str, facts: ScanFacts | None, whole: ScanFacts | None
+    name: str,
+    query: str,
+    records: int,
+    table: str,
+    facts: ScanFacts | None,
+    whole: ScanFacts | None,
+    ran: RunFigures | None = None,
 ) -> tuple:
     """One report row. ``whole`` are the facts of an unfiltered scan of the
-    table; a query that scans it twice could have read twice as much."""
+    table; a query that scans it twice could have read twice as much. ``ran`` are the
+    figures of the finished run: with them files are those opened while it ran, which
+    may be fewer than those planned, and rows those left by row groups and pages."""
     namespace, _, bare = table.rpartition(".")
     head = (name, query, records, namespace or None, bare)
+    rows = ran.rows_read if ran else None
     if facts is None:
-        return (*head, *[None] * 9)
+        return (*head, *[None] * 9, rows)
     told = (*head, facts.partition_filters, facts.pushed_filters, facts.columns)
     if whole is None or facts.files is None or whole.files is None:
-        return (*told, *[None] * 6)
+        return (*told, *[None] * 6, rows)
     times = max(facts.scans, 1)
     files, partitions = whole.files * times, whole.partitions * times
+    opened = ran.files_read if ran and ran.scans == facts.scans and ran.files_read is not None else facts.files
     return (
         *told,
         files,
-        facts.files,
-        files - facts.files,
+        opened,
+        files - opened,
         partitions,
         facts.partitions,
         partitions - facts.partitions,
+        rows,
     )
 
 

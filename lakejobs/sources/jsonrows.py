@@ -33,7 +33,9 @@ def judged_records(df: DataFrame, text: Column, schema: StructType) -> DataFrame
     An object with a value of another type is rejected by itself. A text that is
     not whole JSON is rejected as a whole. An empty array and a null give no row.
     """
-    items = F.coalesce(F.from_json(text, "array<string>"), F.array(text))
+    # Only a text that begins as an array is taken apart before its records are read.
+    is_list = F.rlike(text, F.lit("^[ \\t\\r\\n]*\\["))
+    items = F.coalesce(F.when(is_list, F.from_json(text, "array<string>")), F.array(text))
     rows = df.select(F.explode(F.when(text.isNotNull(), items)).alias("_text"))
     marked = StructType([*schema.fields, StructField(UNPARSED, StringType())])
     parsed = F.from_json("_text", marked, {"columnNameOfCorruptRecord": UNPARSED})

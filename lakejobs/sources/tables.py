@@ -129,6 +129,13 @@ def cluster_by(df: DataFrame, column: str) -> DataFrame:
     return df.repartition(F.col(column), salt)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out again if there are fewer tasks than cores, as for one small
+    file from which much is made. Use it on few, narrow columns."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rebuild_partitioned(df: DataFrame, table: str, column: str, clustered: bool = False) -> None:
     """Drop what is there and write all rows again, one folder per value.
 
@@ -143,3 +150,24 @@ def rebuild_partitioned(df: DataFrame, table: str, column: str, clustered: bool
         writer.parquet(table)
     else:
         writer.format("parquet").saveAsTable(table)
+
+
+def write_dealt(df: DataFrame, path: str, column: str, values: list, per_value: int, key: str) -> None:
+    """Write a folder per value of ``column``, each with ``per_value`` files or fewer.
+
+    The rows of a value are dealt to its files by a hash of ``key``, one task for a file,
+    so the number of files is known however many rows there are. Choose it by the size
+    that the largest value will have. Every value must be in ``values``.
+    """
+    number = F.array_position(F.lit(values), F.col(column)) - 1
+    place = (number * per_value + F.pmod(F.xxhash64(key), F.lit(per_value))).cast("int")
+    dealt = df.repartitionById(len(values) * per_value, place)
+    dealt.write.mode("overwrite").partitionBy(column).parquet(path)
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """Path, size and modification time of every file below ``path``. Only
+    the listing is read, not the contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    keys = ("file_path", "file_size", "file_modification_time")
+    return files.select(*[F.col(f"_metadata.{k}").alias(k) for k in keys])

@@ -13,6 +13,7 @@ TYPES = {
     "string": "VARCHAR",
     "double": "DOUBLE",
     "boolean": "BOOLEAN",
+    "date": "DATE",
 }
 
 

@@ -49,7 +49,7 @@ def test_no_shuffle(spark, tiny, name):
     assert "Exchange" not in plan(entry.queries()[name](spark, tiny))
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(jobs.QUERIES))
 def test_no_join_no_python(spark, tiny, name):
     shown = plan(entry.queries()[name](spark, tiny))
     assert "CartesianProduct" not in shown and "NestedLoop" not in shown
