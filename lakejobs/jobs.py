@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from lakejobs.functions import jsoncols, text
 from lakejobs.functions.values import pick_by_remainder, simple_case
+from lakejobs.operators import retry
 from lakejobs.operators.append import (
     append_by_name,
     append_verified,
@@ -24,7 +25,7 @@ from lakejobs.session import load, scratch_dir
 from lakejobs.sources import flights as demo
 from lakejobs.sources.clustered import write_clustered
 from lakejobs.sources.jsonrows import as_json, explode_records, judged_records, read_records, write_records
-from lakejobs.sources.tables import append_rows, read_table, spread, write_dealt
+from lakejobs.sources.tables import append_rows, read_table, replace_partitions, spread, write_dealt
 from lakejobs.sources.tables import rebuild_partitioned as rebuild
 from lakejobs.streaming import ingest
 
@@ -62,6 +63,7 @@ LITERAL_SUPPLIERS = [
 # As text, which reads the same in every time zone.
 SHIPPED_FROM, SHIPPED_TO = "1997-03-01 00:00:00", "1997-04-30 00:00:00"
 
+LAST_REPEATED = "2024-01-10"
 SHIP_DAYS, PARTS, ORDERS = ("1996-01-01", "1996-06-30"), (20, 120), [7, 64, 320, 999]
 
 SINK = StructType().add("id", "integer").add("msg", "string").add("source", "string")
@@ -155,6 +157,18 @@ def append_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, path, events.schema).select("event_id", "event_type", "value", "day")
 
 
+def append_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by day; the first ten days are then appended again, twice, with other
+    values, as by a run that is repeated."""
+    path, events = _events_by_day(spark, sf_dir)
+    again = events.filter(F.col("day") <= LAST_REPEATED).withColumn("value", F.col("value") * 2)
+    scratch = scratch_dir(spark, "again")
+    again.write.parquet(scratch)
+    for _ in range(2):
+        replace_partitions(spark.read.parquet(scratch), path)
+    return read_table(spark, path, events.schema).select("event_id", "event_type", "value", "day")
+
+
 # Aggregation, sorting, set operations
 
 
@@ -401,6 +415,32 @@ def append_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return append_verified(incoming, *target)
 
 
+#: The first run takes the events below this id, the second one the others and
+#: some of the first once more.
+FIRST_RUN = 600
+
+
+def append_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs; the second one has a wider rule, takes up the rejects of the first, and
+    gets some rows that are stored already."""
+    events = load(spark, sf_dir, "events")
+    path = scratch_dir(spark, "retry")
+    raw = _incoming(events).schema
+    wider = {"k of 95 or more": lambda c: F.get_json_object(c["source"], "$.k").cast("int") < 95}
+    first = events.filter(F.col("event_id") < FIRST_RUN)
+    second = events.filter((F.col("event_id") >= FIRST_RUN) | (F.col("event_id") % 10 == 0))
+    retry.append_run(_incoming(first), path, 1, SINK, "id", SINK_RULES, max_attempts=2)
+    retry.append_run(_incoming(second), path, 2, SINK, "id", wider, max_attempts=2)
+    stored = retry.stored_rows(spark, path, raw, SINK).select(
+        F.lit("accepted").alias("outcome"), *[F.col(c).cast("string").alias(c) for c in SINK.names],
+        F.lit(None).cast("int").alias("attempt"), F.lit(None).cast("string").alias("reject_reason"),
+    )
+    kept = ["outcome", *SINK.names, "attempt", "reject_reason"]
+    waiting = retry.waiting_rows(spark, path, raw, 2).withColumn("outcome", F.lit("retry"))
+    dead = retry.dead_letters(spark, path, raw).withColumn("outcome", F.lit("dead"))
+    return stored.unionByName(waiting.select(kept)).unionByName(dead.select(kept))
+
+
 # JSON
 
 
@@ -521,18 +561,38 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.new_files(spark, f"{sf_dir}/events.parque[t]", schema)
 
 
-def _run_append(spark: SparkSession, sf_dir: str):
+#: Files that the events of the flow arrive in, and files of a batch.
+STREAM_FILES, FILES_PER_BATCH = 16, 2
+
+
+def _arrived(spark: SparkSession, sf_dir: str) -> tuple[str, StructType]:
+    """A folder of files made from the events, and their schema."""
+    events = load(spark, sf_dir, "events")
+    path = scratch_dir(spark, "arrived")
+    place = F.pmod("event_id", F.lit(STREAM_FILES)).cast("int")
+    events.repartitionById(STREAM_FILES, place).write.parquet(path)
+    return path, events.schema
+
+
+def _run_append(spark: SparkSession, sf_dir: str, stop: int | None = None):
+    """The flow over all files, several batches; stopped and started again after
+    ``stop`` batches. The last query and its folder."""
+    source, schema = _arrived(spark, sf_dir)
     path = scratch_dir(spark, "stream")
-    stream = _incoming(_event_stream(spark, sf_dir))
-    query = ingest.append_stream(stream, f"{path}/rows", f"{path}/checkpoint", SINK, SINK_RULES)
+    rows = _incoming(ingest.new_files(spark, source, schema, files_per_batch=FILES_PER_BATCH))
+    target = (rows, f"{path}/rows", f"{path}/checkpoint", SINK, SINK_RULES)
+    if stop is not None:
+        ingest.stop_after(ingest.append_stream(*target, every="0 seconds", typed=True), stop)
+    query = ingest.append_stream(*target, typed=True)
     query.awaitTermination()
-    return query, f"{path}/rows"
+    return query, source, path
 
 
 def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run-once ingestion with rejects."""
-    _, path = _run_append(spark, sf_dir)
-    return _routed(ingest.accepted_rows(spark, path, SINK), ingest.rejected_rows(spark, path))
+    """An ingestion with rejects in several batches, stopped after three and restarted."""
+    _, _, path = _run_append(spark, sf_dir, stop=3)
+    stored = ingest.typed_rows(spark, f"{path}/rows", SINK)
+    return _routed(stored, ingest.untyped_rejects(spark, f"{path}/rows"))
 
 
 def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -545,13 +605,19 @@ def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in and out of a run-once ingestion."""
-    query, _ = _run_append(spark, sf_dir)
-    return ingest.progress(spark, query).agg(
+    """The batches of an ingestion: rows in and out up to each, files taken and waiting,
+    and whether tasks ran. Which files are in a batch is up to their times, so rows are
+    given for the flow as a whole."""
+    query, source, path = _run_append(spark, sf_dir)
+    totals = ingest.progress(spark, query).agg(
         F.sum("rows_in").alias("rows_in"),
         F.sum("rows_out").alias("rows_out"),
         F.sum("rejected").alias("rejected"),
     )
+    batches = ingest.queue(spark, source, f"{path}/checkpoint")
+    batches = batches.join(ingest.batch_tasks(spark, query), "batch_id", "left")
+    batches = batches.withColumn("has_tasks", F.coalesce(F.col("tasks") > 0, F.lit(False)))
+    return batches.select("batch_id", "files", "queued", "has_tasks").crossJoin(F.broadcast(totals))
 
 
 QUERIES = {
@@ -584,8 +650,10 @@ QUERIES = {
     "key_lookup": key_lookup,
     "append_by_name": append_columns,
     "append_partitioned": append_partitioned,
+    "append_repeated": append_repeated,
     "append_with_rejects": append_rejects,
     "append_verify": append_verify,
+    "append_retry": append_retry,
     "json_infer_scan": json_infer_scan,
     "json_write": json_write,
     "json_rows": json_rows,

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakejobs.functions.values import convert
+from lakejobs.session import scratch_dir
 from lakejobs.sources.tables import append_rows, read_if_present
 
 Rule = Callable[[dict[str, Column]], Column]
@@ -94,15 +97,35 @@ def rejected(judged: DataFrame) -> DataFrame:
     return judged.filter(F.col("reject_reason").isNotNull())
 
 
+def fingerprint(schema: StructType) -> list[Column]:
+    """Aggregates that tell sets of rows of ``schema`` apart, repeats counted, in
+    whatever order they are: two sums of independent 64-bit row hashes. They are added
+    up in each task, and fingerprints of parts add up to that of the whole."""
+    parts = []
+    for field in schema:
+        # Hashes pass over nulls, so these are told apart by a flag; maps have no hash.
+        c = F.col(field.name)
+        has_map = "map<" in field.dataType.simpleString()
+        parts += [c.isNull(), F.to_json(F.struct(c)) if has_map else c]
+    none = F.lit(0).cast("decimal(38,0)")
+    return [
+        F.coalesce(F.sum(F.xxhash64(F.lit(seed), *parts).cast("decimal(38,0)")), none).alias(f"print{seed}")
+        for seed in (1, 2)
+    ]
+
+
 def append_with_rejects(
     df: DataFrame,
     table: str,
     schema: StructType,
     rejects_table: str,
     rules: dict[str, Rule] | None = None,
+    fingerprints: dict[str, Observation] | None = None,
 ) -> tuple[int, int]:
     """Append the good rows to ``table`` and the others to ``rejects_table``.
 
+    ``fingerprints`` are filled, by table, with those of the rows sent there.
+
     Returns the numbers of rows seen and rejected. Both are counted while the
     good rows are written. The input is read again only if some row was
     rejected, so it should be cheap to read, such as files. An input that is
@@ -117,16 +140,45 @@ def append_with_rejects(
         rows, bad = F.count(F.lit(1)), F.count("reject_reason")
         return seen, judged.observe(seen, rows.alias("rows"), bad.alias("rejected"))
 
+    def printed(sent: DataFrame, name: str) -> DataFrame:
+        if fingerprints is None:
+            return sent
+        return sent.observe(fingerprints[name], *fingerprint(sent.schema))
+
     first, rows = counted()
-    append_rows(accepted(rows, schema), table)
+    append_rows(printed(accepted(rows, schema), table), table)
     if first.get["rejected"]:
         second, rows = counted()
-        append_rows(rejected(rows), rejects_table)
+        append_rows(printed(rejected(rows), rejects_table), rejects_table)
         if first.get != second.get:
             raise RuntimeError(f"input changed between passes: {first.get}, then {second.get}")
     return first.get["rows"], first.get["rejected"]
 
 
+def _has_files(rows: DataFrame) -> bool:
+    """Whether the rows come from files; an absent table reads as no rows."""
+    try:
+        rows.select("_metadata.file_path")
+    except AnalysisException:
+        return False
+    return True
+
+
+def _newest(rows: DataFrame) -> tuple[int, datetime | None]:
+    """Rows of a table, and the time of its last file. No column is read: the rows of a
+    file stand in its footer."""
+    if not _has_files(rows):
+        return 0, None
+    return tuple(rows.agg(F.count(F.lit(1)), F.max("_metadata.file_modification_time")).first())
+
+
+def _since(rows: DataFrame, newest: datetime) -> DataFrame:
+    """The rows of the files that are as new as ``newest``, with the file's name. Spark
+    leaves the other files out when it plans the scan."""
+    new = rows.filter(F.col("_metadata.file_modification_time") >= F.lit(newest))
+    return new.withColumn("_file", F.col("_metadata.file_path"))
+
+
 def append_verified(
     df: DataFrame,
     table: str,
@@ -134,24 +186,46 @@ def append_verified(
     rejects_table: str,
     rules: dict[str, Rule] | None = None,
 ) -> DataFrame:
-    """Append as above and compare counts before and after: one row, ``ok``
-    when every input row is in the table or among the rejects.
+    """Append as above and compare with what is stored: one row, ``ok`` when every
+    input row is in the table or among the rejects, with the values it should have.
 
-    The counts before and after come from the table's own files, so they hold
-    also when a lost executor made tasks run again.
+    Rows are compared by a fingerprint of all their columns, made of the judged input
+    on one side, and of the files that this append has added on the other. Only these
+    are read; files from before are told by their time, and by name where they are as
+    new as the newest one. Counts before and after come from the footers.
     """
     spark: SparkSession = df.sparkSession
-    rejects_schema = judge(df, schema, rules).schema
-
-    def count(name: str, its_schema: StructType) -> int:
-        return read_if_present(spark, name, its_schema).count()
-
-    before, rejects_before = count(table, schema), count(rejects_table, rejects_schema)
-    rows, _ = append_with_rejects(df, table, schema, rejects_table, rules)
-    after, rejects_after = count(table, schema), count(rejects_table, rejects_schema)
-    written, lost = after - before, rejects_after - rejects_before
+    judged = judge(df, schema, rules)
+    shapes = {table: schema, rejects_table: judged.schema}
+
+    def stored(name: str) -> DataFrame:
+        return read_if_present(spark, name, shapes[name])
+
+    state = {name: _newest(stored(name)) for name in shapes}
+    old = {}
+    for name, (_, newest) in state.items():
+        if newest is not None:
+            # Stored, so that files that are added later cannot get in.
+            names = scratch_dir(spark, "files")
+            _since(stored(name), newest).select("_file").distinct().write.parquet(names)
+            old[name] = spark.read.parquet(names)
+
+    def added(name: str) -> Row:
+        rows, newest = stored(name), state[name][1]
+        if newest is not None:
+            rows = _since(rows, newest).join(old[name], "_file", "left_anti")
+        return rows.agg(F.count(F.lit(1)).alias("rows"), *fingerprint(shapes[name])).first()
+
+    expected: dict[str, Observation] = {table: Observation(), rejects_table: Observation()}
+    rows, bad = append_with_rejects(df, table, schema, rejects_table, rules, expected)
+    new = {name: added(name) for name in shapes}
+    sent = [table, rejects_table] if bad else [table]
+    same = all((new[name].print1, new[name].print2) == tuple(expected[name].get.values()) for name in sent)
+    before, after = state[table][0], stored(table).count()
+    written, refused = new[table].rows, new[rejects_table].rows
+    ok = same and written + refused == rows and after == before + written
     return spark.createDataFrame(
-        [(rows, before, written, lost, after, written + lost == rows)],
+        [(rows, before, written, refused, after, ok)],
         "input_rows BIGINT, rows_before BIGINT, written BIGINT, rejected BIGINT, "
         "rows_after BIGINT, ok BOOLEAN",
     )

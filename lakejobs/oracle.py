@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from lakejobs.functions.text import WHITE_SPACE
 from lakejobs.jobs import (
+    FILES_PER_BATCH,
     FILES_PER_MONTH,
+    FIRST_RUN,
     FLIGHT_BLOCK,
     FLIGHT_QUERIES,
     INCOMING,
     ITEM_LIST,
+    LAST_REPEATED,
     LITERAL_SUPPLIERS,
     ORDERS,
     PARTS,
@@ -18,6 +21,7 @@ from lakejobs.jobs import (
     SHIP_DAYS,
     SHIPPED_FROM,
     SHIPPED_TO,
+    STREAM_FILES,
 )
 
 
@@ -251,12 +255,45 @@ ORACLE = {
         ["SELECT event_id, event_type, value, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events"]
         * 2
     ),
+    "append_repeated": "SELECT event_id, event_type, "
+    f"CASE WHEN CAST(ts AS DATE) <= DATE '{LAST_REPEATED}' THEN value * 2 ELSE value END AS value, "
+    "CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events",
     "append_with_rejects": ROUTED,
     "append_verify": f"""{INCOMING_SQL}
         SELECT count(*) AS input_rows, count(*) - count(reject_reason) AS rows_before,
             count(*) - count(reject_reason) AS written, count(reject_reason) AS rejected,
             2 * (count(*) - count(reject_reason)) AS rows_after, TRUE AS ok
         FROM judged""",
+    "append_retry": f"""
+        WITH tried AS (
+            SELECT {", ".join(f"{sql} AS {name}" for name, sql in INCOMING.items())}, event_id, run,
+                CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+            FROM (
+                SELECT *, 1 AS run FROM events WHERE event_id < {FIRST_RUN}
+                UNION ALL
+                SELECT *, 2 FROM events WHERE event_id >= {FIRST_RUN} OR event_id % 10 = 0
+            )
+        ),
+        judged AS (
+            SELECT *, try_cast(id AS INTEGER) IS NOT NULL AS is_int,
+                is_int AND k < 90 AS good1, is_int AND k < 95 AS good2
+            FROM tried
+        ),
+        stored AS (
+            SELECT DISTINCT id, msg, source, ts FROM judged WHERE good2 AND (run = 2 OR event_id < {FIRST_RUN})
+        ),
+        refused AS (
+            SELECT id, msg, source, ts, nullif(concat_ws('; ',
+                CASE WHEN NOT is_int THEN 'id: not int' END,
+                CASE WHEN NOT k < 95 THEN 'k of 95 or more' END), '') AS reject_reason,
+                CASE WHEN run = 1 THEN 2 ELSE 1 END AS attempt
+            FROM judged WHERE NOT good2
+        )
+        SELECT 'accepted' AS outcome, id, msg, source, ts, CAST(NULL AS INTEGER) AS attempt,
+            CAST(NULL AS VARCHAR) AS reject_reason FROM stored
+        UNION ALL
+        SELECT CASE WHEN attempt = 2 THEN 'dead' ELSE 'retry' END, id, msg, source, ts, attempt,
+            reject_reason FROM refused""",
     "json_infer_scan": EVENTS_WITHOUT_TIME,
     "json_write": EVENTS_WITHOUT_TIME,
     "json_rows": """
@@ -317,6 +354,9 @@ ORACLE = {
     "stream_append": ROUTED,
     "stream_batches": "SELECT event_id, user_id, event_type, value FROM events",
     "stream_progress": f"""{INCOMING_SQL}
-        SELECT count(*) AS rows_in, count(*) AS rows_out, count(reject_reason) AS rejected
-        FROM judged""",
+        SELECT b AS batch_id, CAST({FILES_PER_BATCH} AS BIGINT) AS files,
+            CAST({STREAM_FILES} - {FILES_PER_BATCH} * (b + 1) AS BIGINT) AS queued, TRUE AS has_tasks,
+            rows_in, rows_out, rejected
+        FROM (SELECT count(*) AS rows_in, count(*) AS rows_out, count(reject_reason) AS rejected FROM judged),
+            (SELECT unnest(range({-(-STREAM_FILES // FILES_PER_BATCH)})) AS b)""",
 }

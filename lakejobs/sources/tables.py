@@ -152,6 +152,32 @@ def rebuild_partitioned(df: DataFrame, table: str, column: str, clustered: bool
         writer.format("parquet").saveAsTable(table)
 
 
+def replace_partitions(df: DataFrame, table: str, column: str | None = None) -> None:
+    """Write the rows and replace just the partitions that they are in, so that a run
+    over one month can be repeated without doubling it.
+
+    A folder is written in the partitions it has; ``column`` gives the one of a new
+    folder. Partitions that the rows do not mention stay as they are; one whose rows
+    are all gone from the input is therefore kept, not emptied.
+    """
+    spark = df.sparkSession
+    if _is_path(table):
+        parts = partition_columns(spark, table) or ([column] if column else [])
+        if not parts or not set(parts) <= set(df.columns):
+            raise ValueError(f"{table} needs partition columns that are in the rows, not {parts}")
+        clustered = cluster_by(df, parts[0])
+        writer = clustered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*parts).parquet(table)
+        return
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        df.select(*[df[c] for c in spark.table(table).columns]).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
+
+
 def write_dealt(df: DataFrame, path: str, column: str, values: list, per_value: int, key: str) -> None:
     """Write a folder per value of ``column``, each with ``per_value`` files or fewer.
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import time
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
-from lakejobs.operators.append import Rule, accepted, judge, rejected
+from lakejobs.operators.append import Rule, accepted, judge, rejected, typed_columns
+from lakejobs.sources.tables import list_files
 
 HOURLY = "3600 seconds"
 METRICS = "ingest"
@@ -92,6 +97,23 @@ def _scheduled(writer: DataStreamWriter, checkpoint: str, every: str | None) ->
     return writer.trigger(processingTime=every)
 
 
+def stop_after(query: StreamingQuery, batches: int, seconds: float = 600) -> None:
+    """Stop a running flow once it has finished this many batches, in the middle of the
+    next one if that has begun. A restart with the same checkpoint goes on from there."""
+    end = time.monotonic() + seconds
+    while query.isActive and time.monotonic() < end:
+        last = query.lastProgress
+        if last and last.batchId + 1 >= batches:
+            break
+        time.sleep(0.05)
+    query.stop()
+    if query.exception():
+        raise query.exception()
+
+
+RAW = "raw"
+
+
 def append_stream(
     stream: DataFrame,
     path: str,
@@ -99,17 +121,24 @@ def append_stream(
     schema: StructType,
     rules: dict[str, Rule] | None = None,
     every: str | None = None,
+    typed: bool = False,
 ) -> StreamingQuery:
     """Append a stream to the folder ``path``, each row exactly once.
 
     One pass writes the good rows under ``outcome=accepted`` and the others
     under ``outcome=rejected`` with their reason. The columns of ``schema`` stay
-    as they came in; use :func:`accepted_rows` to read them converted. A restart
-    with the same checkpoint goes on where the last run ended.
+    as they came in; use :func:`accepted_rows` to read them converted. With ``typed``
+    they are stored converted instead, and rejected rows keep what came in as one
+    column ``raw``; use :func:`typed_rows`. A restart with the same checkpoint goes on
+    where the last run ended.
     """
     _log(stream.sparkSession)
     judged = judge(stream, schema, rules)
     bad = F.col("reject_reason").isNotNull()
+    if typed:
+        raw = F.when(bad, F.struct(*schema.names)).alias(RAW)
+        good = [F.when(~bad, c).alias(name) for name, c in typed_columns(judged, schema).items()]
+        judged = judged.select(*good, raw, "reject_reason")
     counted = judged.withColumn(
         "outcome", F.when(bad, F.lit("rejected")).otherwise(F.lit("accepted"))
     ).observe(
@@ -132,6 +161,17 @@ def rejected_rows(spark: SparkSession, path: str) -> DataFrame:
     return rejected(rows).drop("outcome")
 
 
+def typed_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The good rows of a flow that stores them converted."""
+    return spark.read.parquet(path).filter(F.col("outcome") == "accepted").select(*schema.names)
+
+
+def untyped_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The others of such a flow, as they came in, with the reason."""
+    rows = spark.read.parquet(path).filter(F.col("outcome") == "rejected")
+    return rows.select(f"{RAW}.*", "reject_reason")
+
+
 def append_batches(
     stream: DataFrame, path: str, checkpoint: str, name: str, every: str | None = None
 ) -> StreamingQuery:
@@ -162,3 +202,44 @@ def progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
         [rows[batch] for batch in sorted(rows)],
         "batch_id BIGINT, rows_in BIGINT, rows_out BIGINT, rejected BIGINT",
     )
+
+
+def queue(spark: SparkSession, source: str, checkpoint: str) -> DataFrame:
+    """One row per batch: files taken so far, and files that wait at ``source``.
+
+    The files of each batch stand in the log of the source below the checkpoint, part
+    of which Spark sums up now and then; a file is counted where it came up first. Those
+    that wait are the rest of the listing, so a batch is shown with what has arrived by
+    now. Only names are read.
+    """
+    lines = spark.read.text(f"{checkpoint}/sources/0").filter(F.col("value").startswith("{"))
+    entry = F.from_json("value", "path STRING, batchId BIGINT")
+    taken = lines.select(entry.alias("e")).groupBy("e.path").agg(F.min("e.batchId").alias("batch_id"))
+    batches = taken.groupBy("batch_id").agg(F.count(F.lit(1)).alias("files"))
+    # One row per batch of a flow is few enough for one task.
+    so_far = F.sum("files").over(Window.orderBy("batch_id"))
+    listed = list_files(spark, source).agg(F.count(F.lit(1)).alias("listed"))
+    counted = batches.withColumn("taken", so_far).crossJoin(F.broadcast(listed))
+    return counted.select("batch_id", "files", "taken", (F.col("listed") - F.col("taken")).alias("queued"))
+
+
+def batch_tasks(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """One row per batch that this application ran of the flow: the tasks that finished
+    in its jobs, from the session's own log, which the last runs stay in."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    stages = spark.sparkContext._jsc.sc().statusStore()
+    tasks: dict[int, int] = {}
+    for i in range(runs.size()):
+        run = runs.apply(i)
+        told = re.search(rf"id = {query.id}\b.*batch = ([0-9]+)", run.description(), re.DOTALL)
+        if told:
+            batch, each = int(told[1]), run.stages().iterator()
+            tasks.setdefault(batch, 0)
+            while each.hasNext():
+                try:
+                    tasks[batch] += stages.lastStageAttempt(each.next()).numCompleteTasks()
+                except Py4JJavaError:
+                    # A stage that was planned but skipped has no entry.
+                    continue
+    return spark.createDataFrame(sorted(tasks.items()), "batch_id BIGINT, tasks INT")

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,8 +12,10 @@ from lakejobs.operators.append import (
     append_by_name,
     append_verified,
     append_with_rejects,
+    fingerprint,
     judge,
 )
+from lakejobs.plans.report import measured
 from lakejobs.sources.jsonrows import read_records
 from lakejobs.sources.tables import append_rows, create_table, partition_columns
 from lakejobs.sources.tables import read_table
@@ -184,3 +188,49 @@ def test_input_that_changes_is_noticed(spark, folder, monkeypatch):
     monkeypatch.setattr(module, "judge", lambda *_: Changing())
     with pytest.raises(RuntimeError, match="changed"):
         append_with_rejects(df, f"{folder}/t", SINK, f"{folder}/r")
+
+
+def test_a_swapped_value_is_not_verified(spark, folder, monkeypatch):
+    """The counts are right, the values are not: what was stored differs in one cell."""
+    import lakejobs.operators.append as module
+
+    df = spark.createDataFrame([("1", "a"), ("2", "b"), ("x", "c")], "id string, msg string")
+    real = module.append_rows
+
+    def swapped(rows, table, *more):
+        if "reject_reason" not in rows.columns:
+            rows = rows.withColumn("msg", F.when(F.col("id") == 2, F.lit("B")).otherwise(F.col("msg")))
+        real(rows, table, *more)
+
+    args = (df, f"{folder}/t", SINK, f"{folder}/r")
+    assert module.append_verified(*args).first().ok
+    monkeypatch.setattr(module, "append_rows", swapped)
+    row = module.append_verified(*args).first()
+    assert (row.written, row.rejected, row.rows_after, row.ok) == (2, 1, 4, False)
+    monkeypatch.setattr(module, "append_rows", real)
+    assert module.append_verified(*args).first().ok
+
+
+def test_fingerprints_of_parts_add_up(spark):
+    df = spark.range(0, 1000).selectExpr("id", "IF(id % 3 = 0, NULL, id) AS v", "map('k', id) AS m")
+    of = lambda rows: rows.agg(*fingerprint(rows.schema)).first()
+    whole, low, high = of(df), of(df.filter("id < 400")), of(df.filter("id >= 400").orderBy(F.desc("id")))
+    assert tuple(whole) == tuple(a + b for a, b in zip(low, high))
+    assert tuple(whole) != tuple(of(df.unionAll(df.limit(1))))
+    assert tuple(of(df.selectExpr("v AS id", "id AS v", "m"))) != tuple(whole)
+    assert tuple(of(df.filter("id < 0"))) == (0, 0)
+
+
+def test_verification_reads_the_new_files_only(spark, folder):
+    from lakejobs.operators.append import _newest, _since
+
+    big = spark.range(0, 50_000).selectExpr("CAST(id AS INT) AS id", "'m' AS msg")
+    big.write.parquet(f"{folder}/t")
+    _, newest = _newest(spark.read.parquet(f"{folder}/t"))
+    time.sleep(0.05)
+    spark.createDataFrame([(1, "m")], SINK).write.mode("append").parquet(f"{folder}/t")
+    later = _newest(spark.read.parquet(f"{folder}/t"))[1]
+    assert later > newest
+    with measured(spark) as seen:
+        assert _since(spark.read.parquet(f"{folder}/t"), later).agg(F.count("msg")).first()[0] == 1
+    assert seen.figures().rows_read == 1

@@ -7,7 +7,7 @@ from lakejobs.plans.report import scan_facts
 from lakejobs.plans.script import run_script, seed_airlines, seed_flights
 from lakejobs.session import get_session, scratch_dir
 from lakejobs.sources.jdbc import jdbc_reader, jdbc_writer
-from lakejobs.sources.tables import create_namespace, create_table, read_table
+from lakejobs.sources.tables import create_namespace, create_table, read_table, replace_partitions
 
 from plan_text import plan
 
@@ -123,3 +123,31 @@ def test_jdbc_options_without_a_database(spark):
     reader = jdbc_reader(spark, "jdbc:none:x", "t", "id", (0, 100))
     with pytest.raises(Exception, match="[Nn]o suitable driver"):
         reader.load()
+
+
+def test_a_month_that_runs_twice_is_not_doubled(spark, folder):
+    first = spark.range(0, 90).selectExpr("id", "1 AS v", "CAST(id % 3 AS STRING) AS month")
+    replace_partitions(first, f"{folder}/t", "month")
+    again = first.filter("month = '1'").withColumn("v", F.lit(2))
+    for _ in range(2):
+        replace_partitions(again, f"{folder}/t")
+    table = read_table(spark, f"{folder}/t", first.schema)
+    assert {(r.month, r.v): r["count"] for r in table.groupBy("month", "v").count().collect()} == {("0", 1): 30, ("1", 2): 30, ("2", 1): 30}
+    replace_partitions(again.filter("id < 0"), f"{folder}/t")
+    assert table.count() == 90
+    with pytest.raises(ValueError):
+        replace_partitions(again.drop("month"), f"{folder}/t")
+    with pytest.raises(ValueError):
+        replace_partitions(again, f"{folder}/new")
+
+
+def test_a_month_of_a_catalog_table(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS monthdb")
+    spark.sql("DROP TABLE IF EXISTS monthdb.t")
+    spark.sql("CREATE TABLE monthdb.t (id BIGINT, month STRING) USING parquet PARTITIONED BY (month)")
+    rows = spark.range(0, 10).selectExpr("CAST(id % 2 AS STRING) AS month", "id")
+    for part in (rows, rows.filter("month = '1'"), rows.filter("month = '1'")):
+        replace_partitions(part, "monthdb.t")
+    assert spark.table("monthdb.t").count() == 10
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+    spark.sql("DROP TABLE monthdb.t")

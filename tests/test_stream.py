@@ -135,3 +135,30 @@ def test_missing_column_stops_before_it_starts(spark, folder):
     stream = ingest.new_files(spark, f"{folder}/in", RAW).select("id")
     with pytest.raises(ValueError, match="msg"):
         ingest.append_stream(stream, f"{folder}/out", f"{folder}/checkpoint", SINK)
+
+
+def test_queue_and_restart_in_the_middle(spark, folder):
+    schema = StructType().add("id", "string").add("msg", "string")
+    spark.range(0, 12, 1, 12).selectExpr("IF(id % 4 = 0, 'x', CAST(id AS STRING)) AS id", "'m' AS msg").write.parquet(f"{folder}/in")
+    sink = StructType().add("id", "integer").add("msg", "string")
+
+    def start(every=None):
+        rows = ingest.new_files(spark, f"{folder}/in", schema, files_per_batch=3)
+        return ingest.append_stream(rows, f"{folder}/out", f"{folder}/check", sink, every=every, typed=True)
+
+    ingest.stop_after(start(every="0 seconds"), 2)
+    seen = {r.batch_id: (r.files, r.taken, r.queued) for r in ingest.queue(spark, f"{folder}/in", f"{folder}/check").collect()}
+    assert seen[0] == (3, 3, 9) and seen[1] == (3, 6, 6)
+    query = start()
+    query.awaitTermination()
+    assert sorted(r.queued for r in ingest.queue(spark, f"{folder}/in", f"{folder}/check").collect()) == [0, 3, 6, 9]
+    stored = ingest.typed_rows(spark, f"{folder}/out", sink)
+    assert stored.dtypes == [("id", "int"), ("msg", "string")]
+    assert sorted(r.id for r in stored.collect()) == [i for i in range(12) if i % 4]
+    assert [tuple(r) for r in ingest.untyped_rejects(spark, f"{folder}/out").collect()] == [("x", "m", "id: not int")] * 3
+    # New files wait until the next run.
+    spark.range(20, 22, 1, 2).selectExpr("CAST(id AS STRING) AS id", "'m' AS msg").write.mode("append").parquet(f"{folder}/in")
+    last = ingest.queue(spark, f"{folder}/in", f"{folder}/check").orderBy("batch_id").collect()[-1]
+    assert (last.taken, last.queued) == (12, 2)
+    tasks = {r.batch_id: r.tasks for r in ingest.batch_tasks(spark, query).collect()}
+    assert set(tasks) >= {2, 3} and all(n > 0 for n in tasks.values())
