@@ -21,8 +21,10 @@ from lakejobs.operators.append import (
 from lakejobs.operators.ordering import distinct_sorted, first_match, latest, order_by
 from lakejobs.plans.named import NamedOutputs, run_named, tagged_json, write_named
 from lakejobs.plans.profile import file_statistics, profile_all
+from lakejobs.plans.sketches import column_sketches, estimates, merged
 from lakejobs.session import load, scratch_dir
 from lakejobs.sources import flights as demo
+from lakejobs.sources.jsonshapes import inferred_records
 from lakejobs.sources.clustered import write_clustered
 from lakejobs.sources.jsonrows import as_json, explode_records, judged_records, read_records, write_records
 from lakejobs.sources.tables import append_rows, read_table, replace_partitions, spread, write_dealt
@@ -101,6 +103,13 @@ RECORDS = """CASE
         '{"id":', p_partkey + 1, ',"msg":"', p_brand, '"}]')
     ELSE concat('{"id":', p_partkey, ',"msg":"', p_type, '"}')
     END"""
+SHAPES = """CASE p_partkey % 6
+    WHEN 0 THEN concat('[{"id":', p_partkey, ',"msg":"a","price":', p_size, '},{"id":', p_partkey, ',"price":0.5}]')
+    WHEN 1 THEN concat('{"id":"x', p_partkey, '"}')
+    WHEN 2 THEN concat(' {"id":', p_partkey, ',"size":{"v":', p_size, '},"msg":null}')
+    WHEN 3 THEN concat('[{"id":', p_partkey, '},', p_size, ']')
+    WHEN 4 THEN concat('{"id":', p_partkey)
+    ELSE '[]' END"""
 DIRTY_RECORDS = """CASE p_partkey % 4
     WHEN 0 THEN concat('[{"id":', p_partkey, ',"msg":"a"},{"id":', p_partkey, ',"msg":"b"}]')
     WHEN 1 THEN concat('{"id":', p_partkey, '}')
@@ -479,6 +488,13 @@ def json_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_records(load(spark, sf_dir, "part"), F.expr(DIRTY_RECORDS), fields)
 
 
+def json_infer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records from texts of several writers: arrays, single objects, nested ones, ids as
+    numbers and as text, and texts that are cut off; the shape is inferred."""
+    records = inferred_records(load(spark, sf_dir, "part"), F.expr(SHAPES))
+    return records.select("id", "msg", "price", F.col("size.v").alias("size_v"), "rejected")
+
+
 def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = jsoncols.sorted_keys(F.expr(RESPONSE), "$.config")
     return load(spark, sf_dir, "customer").select(
@@ -549,7 +565,19 @@ def string_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every column of every given table."""
-    return profile_all({name: load(spark, sf_dir, name) for name in TABLES})
+    return profile_all({name: load(spark, sf_dir, name) for name in TABLES}, integers=True)
+
+
+def profile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns with few values, sketched by return flag and merged; distinct counts of so
+    few values are exact, and the smallest and largest value are kept."""
+    columns = ["l_linenumber", "l_quantity", "l_discount", "l_tax", "l_linestatus"]
+    parts = column_sketches(load(spark, sf_dir, "lineitem"), ["l_returnflag"], columns)
+    path = scratch_dir(spark, "sketches")
+    parts.write.partitionBy("l_returnflag").parquet(path)
+    figures = estimates(merged(spark.read.parquet(path)), (0.0, 1.0))
+    ends = [F.get("quantiles", i).alias(name) for i, name in enumerate(("smallest", "largest"))]
+    return figures.select("column", "rows", "nulls", "distinct_values", *ends)
 
 
 # Streaming
@@ -659,6 +687,7 @@ QUERIES = {
     "json_rows": json_rows,
     "json_records": json_records,
     "json_rejects": json_rejects,
+    "json_infer_texts": json_infer_texts,
     "json_keys": json_keys,
     "json_flags": json_flags,
     "json_items": json_items,
@@ -667,6 +696,7 @@ QUERIES = {
     "split_statements": split_statements,
     "string_pack": string_pack,
     "table_profile": table_profile,
+    "profile_sketches": profile_sketches,
     "stream_append": stream_append,
     "stream_batches": stream_batches,
     "stream_progress": stream_progress,

@@ -18,6 +18,7 @@ from lakejobs.jobs import (
     RECORDS,
     RESPONSE,
     SCRIPT,
+    SHAPES,
     SHIP_DAYS,
     SHIPPED_FROM,
     SHIPPED_TO,
@@ -138,6 +139,13 @@ COLUMNS = {
     "conversations": "conv_id n, turn n, role t, text t",
 }
 
+#: Those of the numbers that are whole.
+INTEGERS = (
+    "r_regionkey n_nationkey n_regionkey c_custkey c_nationkey s_suppkey s_nationkey p_partkey p_size "
+    "o_orderkey o_custkey l_orderkey l_partkey l_suppkey l_linenumber event_id user_id doc_id n_chars "
+    "vec_id label page_id item_id quality toxic conv_id turn"
+).split()
+
 
 def _profile() -> str:
     parts = []
@@ -145,11 +153,13 @@ def _profile() -> str:
         for entry in columns.split(", "):
             column, kind = entry.split()
             number = f"CAST({{}}({column}) AS DOUBLE)" if kind == "n" else "CAST(NULL AS DOUBLE)"
+            whole = "CAST({}(%s) AS BIGINT)" % column if column in INTEGERS else "CAST(NULL AS BIGINT)"
             text = f"CAST({{}}({column}) AS VARCHAR)" if kind == "t" else "CAST(NULL AS VARCHAR)"
             parts.append(
                 f'SELECT \'{table}\' AS "table", \'{column}\' AS "column", '
                 f'count(*) AS "rows", count(*) - count({column}) AS nulls, '
                 f"{number.format('min')} AS min_number, {number.format('max')} AS max_number, "
+                f"{whole.format('min')} AS min_integer, {whole.format('max')} AS max_integer, "
                 f"{text.format('min')} AS min_text, {text.format('max')} AS max_text FROM {table}"
             )
     return "\nUNION ALL\n".join(parts)
@@ -317,6 +327,24 @@ ORACLE = {
         SELECT CAST(json_extract_string(item, '$.id') AS BIGINT) AS id,
             json_extract_string(item, '$.msg') AS msg
         FROM records""",
+    "json_infer_texts": f"""
+        WITH t AS (SELECT *, {SHAPES} AS doc, p_partkey % 6 AS kind FROM part)
+        SELECT CAST(p_partkey AS VARCHAR) AS id, 'a' AS msg, CAST(p_size AS DOUBLE) AS price,
+            NULL::BIGINT AS size_v, NULL::VARCHAR AS rejected FROM t WHERE kind = 0
+        UNION ALL SELECT CAST(p_partkey AS VARCHAR), NULL, 0.5, NULL, NULL FROM t WHERE kind = 0
+        UNION ALL SELECT 'x' || p_partkey, NULL, NULL, NULL, NULL FROM t WHERE kind = 1
+        UNION ALL SELECT CAST(p_partkey AS VARCHAR), NULL, NULL, p_size, NULL FROM t WHERE kind = 2
+        UNION ALL SELECT CAST(p_partkey AS VARCHAR), NULL, NULL, NULL, NULL FROM t WHERE kind = 3
+        UNION ALL SELECT NULL, NULL, NULL, NULL, CAST(p_size AS VARCHAR) FROM t WHERE kind = 3
+        UNION ALL SELECT NULL, NULL, NULL, NULL, doc FROM t WHERE kind = 4""",
+    "profile_sketches": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS \"rows\", count(*) - count({c}) AS nulls, "
+        f"count(DISTINCT {c}) AS distinct_values, "
+        + (f"CAST(min({c}) AS DOUBLE) AS smallest, CAST(max({c}) AS DOUBLE) AS largest" if c != "l_linestatus"
+           else "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)")
+        + " FROM lineitem"
+        for c in ("l_linenumber", "l_quantity", "l_discount", "l_tax", "l_linestatus")
+    ),
     "json_keys": f"""{RESPONSES}
         SELECT c_custkey, array_to_string(list_sort(keys), ',') AS keys,
             CAST(len(keys) AS INTEGER) AS n_keys

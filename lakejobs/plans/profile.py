@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DataType,
     DateType,
+    IntegralType,
     NumericType,
     StringType,
     TimestampNTZType,
@@ -45,6 +46,9 @@ def table_summary(spark: SparkSession, table: str) -> DataFrame:
 
 def _bound(aggregate: str, data_type: DataType) -> dict[str, str]:
     """A smallest or largest value in SQL, under the kind it is reported as."""
+    if isinstance(data_type, IntegralType):
+        # A double is not exact above 2**53.
+        return {"number": f"CAST({aggregate} AS DOUBLE)", "integer": f"CAST({aggregate} AS BIGINT)"}
     if isinstance(data_type, NumericType):
         return {"number": f"CAST({aggregate} AS DOUBLE)"}
     if isinstance(data_type, (StringType, DateType, TimestampType, TimestampNTZType)):
@@ -52,12 +56,14 @@ def _bound(aggregate: str, data_type: DataType) -> dict[str, str]:
     return {}
 
 
-def profile(df: DataFrame, table: str) -> DataFrame:
+def profile(df: DataFrame, table: str, integers: bool = False) -> DataFrame:
     """One row per column: rows, nulls, smallest and largest value.
 
     The whole table is aggregated once, to a single row that is then turned
     into one row per column. Numbers are reported in ``min_number`` and
-    ``max_number``, text and times in ``min_text`` and ``max_text``.
+    ``max_number``, text and times in ``min_text`` and ``max_text``. With ``integers``,
+    whole numbers are given in ``min_integer`` and ``max_integer`` as well, where they are
+    exact at any size.
     """
     stats, entries = ["count(*) AS rows"], []
     for i, field in enumerate(df.schema):
@@ -71,17 +77,21 @@ def profile(df: DataFrame, table: str) -> DataFrame:
             "min_text": low.get("text", "CAST(NULL AS STRING)"),
             "max_text": high.get("text", "CAST(NULL AS STRING)"),
         }
+        if integers:
+            measures["min_integer"] = low.get("integer", "CAST(NULL AS BIGINT)")
+            measures["max_integer"] = high.get("integer", "CAST(NULL AS BIGINT)")
         stats += [f"{sql} AS {name}_{i}" for name, sql in measures.items()]
         values = ", ".join(f"{name}_{i}" for name in measures)
         entries.append(f"{sql_text(table)}, {sql_text(field.name)}, rows, {values}")
     names = "`table`, `column`, rows, nulls, min_number, max_number, min_text, max_text"
+    names += ", min_integer, max_integer" if integers else ""
     stacked = f"stack({len(entries)}, {', '.join(entries)}) AS ({names})"
     return df.selectExpr(*stats).selectExpr(stacked)
 
 
-def profile_all(tables_by_name: dict[str, DataFrame]) -> DataFrame:
+def profile_all(tables_by_name: dict[str, DataFrame], integers: bool = False) -> DataFrame:
     """The profiles of several tables."""
-    return reduce(DataFrame.union, [profile(df, n) for n, df in tables_by_name.items()])
+    return reduce(DataFrame.union, [profile(df, n, integers) for n, df in tables_by_name.items()])
 
 
 def file_statistics(
