@@ -641,11 +641,12 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("rows_in").alias("rows_in"),
         F.sum("rows_out").alias("rows_out"),
         F.sum("rejected").alias("rejected"),
-    )
+    ).first()
     batches = ingest.queue(spark, source, f"{path}/checkpoint")
     batches = batches.join(ingest.batch_tasks(spark, query), "batch_id", "left")
     batches = batches.withColumn("has_tasks", F.coalesce(F.col("tasks") > 0, F.lit(False)))
-    return batches.select("batch_id", "files", "queued", "has_tasks").crossJoin(F.broadcast(totals))
+    flow = [F.lit(totals[c]).alias(c) for c in ("rows_in", "rows_out", "rejected")]
+    return batches.select("batch_id", "files", "queued", "has_tasks", *flow)
 
 
 QUERIES = {

@@ -6,7 +6,7 @@ import re
 import time
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
@@ -210,17 +210,18 @@ def queue(spark: SparkSession, source: str, checkpoint: str) -> DataFrame:
     The files of each batch stand in the log of the source below the checkpoint, part
     of which Spark sums up now and then; a file is counted where it came up first. Those
     that wait are the rest of the listing, so a batch is shown with what has arrived by
-    now. Only names are read.
+    now. Only names are read; one row per batch comes to the driver, as for progress.
     """
     lines = spark.read.text(f"{checkpoint}/sources/0").filter(F.col("value").startswith("{"))
     entry = F.from_json("value", "path STRING, batchId BIGINT")
     taken = lines.select(entry.alias("e")).groupBy("e.path").agg(F.min("e.batchId").alias("batch_id"))
-    batches = taken.groupBy("batch_id").agg(F.count(F.lit(1)).alias("files"))
-    # One row per batch of a flow is few enough for one task.
-    so_far = F.sum("files").over(Window.orderBy("batch_id"))
-    listed = list_files(spark, source).agg(F.count(F.lit(1)).alias("listed"))
-    counted = batches.withColumn("taken", so_far).crossJoin(F.broadcast(listed))
-    return counted.select("batch_id", "files", "taken", (F.col("listed") - F.col("taken")).alias("queued"))
+    batches = taken.groupBy("batch_id").agg(F.count(F.lit(1)).alias("files")).orderBy("batch_id")
+    listed = list_files(spark, source).count()
+    rows, so_far = [], 0
+    for batch, files in batches.toLocalIterator():
+        so_far += files
+        rows.append((batch, files, so_far, listed - so_far))
+    return spark.createDataFrame(rows, "batch_id BIGINT, files BIGINT, taken BIGINT, queued BIGINT")
 
 
 def batch_tasks(spark: SparkSession, query: StreamingQuery) -> DataFrame:
