@@ -40,16 +40,22 @@ HEADLINE = [
     "scan_report",
     "zone_map",
     "skipping_scan",
+    "clustered_scan",
+    "key_lookup",
     "append_by_name",
     "append_with_rejects",
     "append_verify",
+    "append_retry",
+    "append_repeated",
     "json_infer_scan",
     "json_records",
+    "json_infer_texts",
     "json_keys",
     "json_first",
     "split_statements",
     "string_pack",
     "table_profile",
+    "profile_sketches",
     "stream_append",
 ]
 REPEATS = 3

@@ -645,7 +645,7 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = ingest.queue(spark, source, f"{path}/checkpoint")
     batches = batches.join(ingest.batch_tasks(spark, query), "batch_id", "left")
     batches = batches.withColumn("has_tasks", F.coalesce(F.col("tasks") > 0, F.lit(False)))
-    flow = [F.lit(totals[c]).alias(c) for c in ("rows_in", "rows_out", "rejected")]
+    flow = [F.lit(totals[c]).cast("long").alias(c) for c in ("rows_in", "rows_out", "rejected")]
     return batches.select("batch_id", "files", "queued", "has_tasks", *flow)
 
 
