@@ -64,17 +64,23 @@ def rank_bounds(df: DataFrame, columns: list[str], bits: int = BITS) -> dict[str
     return {c: list(found[c] or []) for c in columns}
 
 
-def rank(number: Column, bounds: list[float], bits: int = BITS) -> Column:
-    """How many of the bounds are at most ``number``, by halving; 0 for a null."""
+def with_rank(df: DataFrame, name: str, number: Column, bounds: list[float], bits: int = BITS) -> DataFrame:
+    """Adds ``name``: how many of the bounds are at most ``number``; 0 for a null.
+
+    By halving. Each step is a projection of its own, which Spark compiles; nested in one
+    expression, or as a function over an array, the steps would be much slower.
+    """
     if not bounds:
-        return F.lit(0)
+        return df.withColumn(name, F.lit(0))
     table = F.lit(np.array(bounds, np.float64))
-    steps = F.lit(np.array([2**i for i in reversed(range(bits))], np.int32))
-
-    def halve(at: Column, step: Column) -> Column:
-        return F.when(F.get(table, at + step - 1) <= number, at + step).otherwise(at)
-
-    return F.aggregate(steps, F.lit(0), halve)
+    step, at = f"{name}_{bits}", F.lit(0)
+    df = df.withColumn(f"{name}_n", number)
+    for bit in reversed(range(bits)):
+        half = F.when(F.get(table, at + (2**bit - 1)) <= F.col(f"{name}_n"), at + 2**bit).otherwise(at)
+        last, step = step, f"{name}_{bit}"
+        df = df.withColumn(step, half).drop(last)
+        at = F.col(step)
+    return df.withColumnRenamed(step, name).drop(f"{name}_n")
 
 
 def interleaved(ranks: list[Column], bits: int = BITS) -> Column:
@@ -89,12 +95,13 @@ def interleaved(ranks: list[Column], bits: int = BITS) -> Column:
     return reduce(Column.__add__, parts)
 
 
-def cluster_key(df: DataFrame, columns: list[str], bounds: dict[str, list[float]], bits: int = BITS) -> Column:
-    """The place of a row along the curve through ``columns``."""
+def with_cluster_key(df: DataFrame, columns: list[str], bounds: dict[str, list[float]], bits: int = BITS) -> DataFrame:
+    """Adds the place of each row along the curve through ``columns``."""
     kinds = {f.name: f.dataType for f in df.schema}
-    return interleaved(
-        [rank(order_number(F.col(c), kinds[c]), bounds[c], bits) for c in columns], bits
-    )
+    ranks = [f"{KEY}{i}" for i in range(len(columns))]
+    for name, c in zip(ranks, columns):
+        df = with_rank(df, name, order_number(F.col(c), kinds[c]), bounds[c], bits)
+    return df.withColumn(KEY, interleaved([F.col(r) for r in ranks], bits)).drop(*ranks)
 
 
 def write_clustered(
@@ -117,10 +124,10 @@ def write_clustered(
     that is repeated very often, is spread over as many tasks as its share asks for.
     """
     partition_by = partition_by or []
-    if clash := {KEY, SPREAD} & set(df.columns):
-        raise ValueError(f"columns of these names are in use: {sorted(clash)}")
+    if clash := [c for c in df.columns if c.startswith((KEY, SPREAD))]:
+        raise ValueError(f"columns of these names are in use: {clash}")
     bounds = rank_bounds(df, columns, bits)
-    keyed = df.withColumn(KEY, cluster_key(df, columns, bounds, bits))
+    keyed = with_cluster_key(df, columns, bounds, bits)
     spread = F.xxhash64(*[F.col(c) for c in columns], F.monotonically_increasing_id())
     order = [*partition_by, KEY]
     sorted_rows = (

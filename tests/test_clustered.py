@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lakejobs.plans.profile import file_statistics
 from lakejobs.plans.report import measured
-from lakejobs.sources.clustered import interleaved, rank, rank_bounds, write_clustered
+from lakejobs.sources.clustered import interleaved, rank_bounds, with_rank, write_clustered
 
 SMALL = {"parquet.block.row.count.limit": "250", "parquet.page.row.count.limit": "250"}
 
@@ -29,7 +29,7 @@ def test_ranks_count_the_bounds(spark, bits):
     bounds = sorted(rng.choice([1.5, 2.0, 7.25, 9.0, 30.0]) for _ in range(2**bits - 1))
     values = [None, -1.0, *bounds, 8.0, 31.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = [r[0] for r in df.select(rank(F.col("v"), bounds, bits)).collect()]
+    got = [r.k for r in with_rank(df, "k", F.col("v"), bounds, bits).collect()]
     assert got == [0 if v is None else sum(b <= v for b in bounds) for v in values]
 
 
