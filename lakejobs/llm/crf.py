@@ -45,11 +45,12 @@ def luhn(digits: str) -> bool:
 def tokens(text: str) -> list[Token]:
     """The variables of a text, in order, with their features."""
     out: list[Token] = []
-    last = -1
+    last = 0
     for m in ACTIVE.finditer(text):
         if m.start() < last:
             continue
-        start = max(text.rfind(c, 0, m.start()) for c in EDGE) + 1 if m.start() else 0
+        # Not before the end of the last token, so that the text is walked once.
+        start = max(last, max(text.rfind(c, last, m.start()) for c in EDGE) + 1)
         stop = m.end()
         while stop < len(text) and text[stop] not in EDGE:
             stop += 1

@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from lakejobs.llm import crf
 from lakejobs.llm.crf import KINDS, LABELS
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# Runs are taken whole, with what follows if it fits: where it does not, no later start in
+# the same run fits either, so each run is walked once.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)?")
+IP = re.compile(r"[0-9]++((?:\.[0-9]+){3})?")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Texts and tokens at most that the field is trained on.
@@ -45,8 +47,8 @@ def base_spans(text: str) -> list[Span]:
     """(kind, start, end) by kind and place; matches that fail their test are dropped."""
     out: list[Span] = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x[-20:]) <= 255 and len(x.lstrip("0")) < 4 for x in m[0].split("."))]
+        out += [("email", *m.span()) for m in EMAIL.finditer(text) if m[1]]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if m[1] and all(int(x[-20:]) <= 255 and len(x.lstrip("0")) < 4 for x in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = _digits(m[0])
         if 13 <= len(digits) <= 19 and crf.luhn(digits):
