@@ -92,7 +92,13 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> crf.Model:
     """The field, trained on a bounded sample of the texts."""
     rows = docs.select(F.md5(F.coalesce(docs[key].cast("string"), F.lit(""))).alias("h"), docs[text].alias("text"))
     # A text longer than this is no sample; the model is applied to it all the same.
-    rows = rows.filter(F.length("text") < 20_000).filter(F.col("text").rlike("[0-9@+]")).orderBy("h", "text").limit(SAMPLE)
+    rows = rows.filter(F.length("text") < 20_000).filter(F.col("text").rlike("[0-9@+]"))
+    # Only texts whose hash is small enough to be among the first are sorted, or one task
+    # would get as many of every other one.
+    n = rows.count()
+    if n > 2 * SAMPLE:
+        rows = rows.filter(F.col("h") < f"{3 * SAMPLE * 2**32 // (2 * n):08x}")
+    rows = rows.orderBy("h", "text").limit(SAMPLE)
     found, n = [], 0
     for row in rows.select("text").mapInArrow(_sample, SAMPLE_TYPE).toLocalIterator():
         if n < SAMPLE_TOKENS:
