@@ -32,6 +32,8 @@ def read_table(spark: SparkSession, table: str, schema: StructType | None = None
 
 def read_if_present(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
     """Like :func:`read_table`, but an absent table reads as an empty one."""
+    if _is_path(table) and _is_empty(spark, table):
+        return spark.createDataFrame([], schema)
     try:
         return read_table(spark, table, schema)
     except AnalysisException as error:
