@@ -117,6 +117,12 @@ class Measured:
 
     def __init__(self, spark: SparkSession, mark: str) -> None:
         self.spark, self.mark = spark, mark
+        runs = self._log().executionsList() if hasattr(spark, "_jsparkSession") else None
+        #: The last run before; those of other threads may come in between later ones.
+        self.last = runs.apply(runs.size() - 1).executionId() if runs and runs.size() else -1
+
+    def _log(self):
+        return self.spark._jsparkSession.sharedState().statusStore()
 
     def figures(self) -> RunFigures | None:
         """The figures of the finished runs, from the session's own log of executions,
@@ -125,15 +131,15 @@ class Measured:
             return None
         # The log hears of a run's end by the listener bus.
         self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-        log = self.spark._jsparkSession.sharedState().statusStore()
+        log = self._log()
         scans: list[dict[str, int]] = []
         runs = log.executionsList()
         for i in reversed(range(runs.size())):
             run = runs.apply(i)
+            if run.executionId() <= self.last:
+                break
             if run.description() == self.mark:
                 scans += self._scans(log, run.executionId())
-            elif scans:
-                break
 
         def total(name: str) -> int | None:
             known = [s[name] for s in scans if name in s]

@@ -136,3 +136,20 @@ def test_days_keep_their_type(spark, folder):
     df = spark.createDataFrame([(dt.date(2024, 1, d), d) for d in range(1, 29)], "day date, n int")
     write_clustered(df, f"{folder}/t", ["day", "n"])
     assert rows(spark.read.parquet(f"{folder}/t").filter("day = '2024-01-05'")) == [(dt.date(2024, 1, 5), 5)]
+
+
+def test_figures_are_of_the_runs_inside_only(spark, folder):
+    spark.range(0, 1000, 1, 2).write.parquet(f"{folder}/t")
+    table = spark.read.parquet(f"{folder}/t")
+    noop = lambda df: df.write.format("noop").mode("overwrite").save()
+    noop(table)
+    with measured(spark) as seen:
+        noop(table)
+        spark.sparkContext.setLocalProperty("spark.job.description", "of another thread")
+        noop(table)
+        spark.sparkContext.setLocalProperty("spark.job.description", seen.mark)
+        noop(table.filter("id < 0"))
+    noop(table)
+    figures = seen.figures()
+    assert (figures.scans, figures.rows_read) == (2, 1000)
+    assert spark.sparkContext.getLocalProperty("spark.job.description") is None
