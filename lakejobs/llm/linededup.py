@@ -10,6 +10,9 @@ size drops most others before they are shuffled. In each bucket all lines are
 compared with one of them; only where several components are left are lines of
 different components paired, after the parities of their letter pairs, which no
 two lines within the edits can differ in by much, rule out nearly all strangers.
+A bucket of more than ``PAIRED`` members is not paired but split by the segments of
+what is left of the lines without the common one, again and again as long as it is
+large: lines within the edits must agree in one of these too.
 
 Defined cases: lines shorter than ``MIN_CHARS`` characters (headings, blank lines)
 are never removed. A null or empty text stays as it is. The lines of a null id
@@ -28,6 +31,8 @@ from lakejobs.llm.common import marked, written
 from lakejobs.llm.components import components
 
 EDITS = 2
+#: Up to so many members of a bucket are paired; of larger buckets, those with a second segment in common.
+PAIRED = 64
 MIN_CHARS = 20
 
 
@@ -62,24 +67,55 @@ def classes(texts: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> Dat
     info = found.groupBy("name").agg(F.first("line").alias("line"))
     info = written(info.mapInArrow(lines.with_parity, "name long, line string, chars int, parity array<long>"), "line-info")
 
-    star = member.filter("name <> centre").select(F.col("name").alias("a"), F.col("centre").alias("b")).distinct()
-    links = written(_close(star, info, edits), "line-links")
-
-    label = written(components(links).withColumnRenamed("node", "name"), "line-components")
-    member = member.join(label, "name", "left").select("sig", "name", "own", F.coalesce("label", "name").alias("label"))
-    open_sigs = member.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
-    # A bucket of two was settled by its one pair.
-    open_sigs = open_sigs.filter("low < high AND n > 2").select("sig")
-    rest = member.join(open_sigs, "sig", "left_semi").join(info.select("name", "chars", "parity"), "name")
-    rest = written(rest, "open-members")
-    # A signature finds a pair by the shorter line's own segment.
-    one, two = _numbered(rest.filter("own"), "1", ["sig"]), _numbered(rest, "2", ["sig"])
-    shorter = (F.col("chars1") < F.col("chars2")) | ((F.col("chars1") == F.col("chars2")) & (F.col("name1") < F.col("name2")))
-    other = (F.col("name1") != F.col("name2")) & (F.col("label1") != F.col("label2"))
-    pairs = one.join(two, "sig").filter(shorter & other & _near("1", "2", edits))
-    pairs = pairs.select(F.col("name1").alias("a"), F.col("name2").alias("b")).distinct()
-    links = links.unionByName(written(_close(pairs, info, edits), "more-line-links"))
-    return components(links).withColumnRenamed("node", "name")
+    links, settled, first = None, None, True
+    while True:
+        star = member.filter("name <> centre").select(F.col("name").alias("a"), F.col("centre").alias("b")).distinct()
+        links = _with(links, written(_close(star, info, edits), "line-links"))
+        settled = written(components(links).withColumnRenamed("node", "name"), "line-components")
+        if not first:
+            member = member.drop("label")
+        member = member.drop("centre").join(settled, "name", "left").withColumn("label", F.coalesce("label", "name"))
+        open_sigs = member.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+        # A bucket of two was settled by its one pair.
+        open_sigs = open_sigs.filter("low < high AND n > 2").select("sig", "n")
+        rest = member.join(open_sigs, "sig").join(info.select("name", "chars", "parity"), "name")
+        rest = written(rest, "open-members")
+
+        # A signature finds a pair by the shorter line's own segment.
+        few = rest.filter(F.col("n") <= PAIRED).select("sig", "name", "own", "label", "chars", "parity").distinct()
+        one, two = _numbered(few.filter("own"), "1", ["sig"]), _numbered(few, "2", ["sig"])
+        shorter = (F.col("chars1") < F.col("chars2")) | ((F.col("chars1") == F.col("chars2")) & (F.col("name1") < F.col("name2")))
+        other = (F.col("name1") != F.col("name2")) & (F.col("label1") != F.col("label2"))
+        pairs = one.join(two, "sig").filter(shorter & other & _near("1", "2", edits))
+        pairs = pairs.select(F.col("name1").alias("a"), F.col("name2").alias("b")).distinct()
+        links = _with(links, written(_close(pairs, info, edits), "more-line-links"))
+
+        many = rest.filter(F.col("n") > PAIRED)
+        if many.isEmpty():
+            return components(links).withColumnRenamed("node", "name")
+        member, first = _narrowed(many, info, edits, first), False
+
+
+def _with(links: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if links is None else links.unionByName(more)
+
+
+def _narrowed(many: DataFrame, info: DataFrame, edits: int, first: bool) -> DataFrame:
+    """The members of large buckets in buckets of a second segment, taken of what is left of the lines.
+
+    Lines that share a segment are within the edits by it only if what is left of them is.
+    Buckets within one component, or with one line, are left out.
+    """
+    cuts = F.lit(None).cast("array<int>") if first else F.col("cuts")
+    rows = many.select("sig", "name", "own", "label", cuts.alias("cuts"), F.lit(first).alias("whole")).join(info.select("name", "line"), "name")
+    deeper = rows.mapInArrow(lines.narrower(edits), "sig long, name long, own boolean, label long, cuts array<int>")
+    deeper = written(deeper, "narrower-members")
+    centre = F.when(F.col("own"), F.col("name"))
+    shared = deeper.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(centre).alias("centre"), F.min_by("label", centre).alias("centre_label"))
+    shared = written(shared.filter("low < high AND centre IS NOT NULL").select("sig", "centre", "centre_label"), "narrower-signatures")
+    # A line of the centre's component needs no comparison with it.
+    settled = F.when(F.col("label") == F.col("centre_label"), F.col("name")).otherwise(F.col("centre"))
+    return written(deeper.join(shared, "sig").select("sig", "name", "own", "label", "cuts", settled.alias("centre")), "members")
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:

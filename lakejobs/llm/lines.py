@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,30 +17,95 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:k]), sizes[k]) for k in range(parts)]
 
 
+@lru_cache(4096)
+def places(length: int, edits: int) -> list[tuple[int, int, int, int, int]]:
+    """(less, segment number, its start, place, size), where a line of ``length`` may have the
+    segments of a line shorter by ``less``; the line's own segments come first.
+
+    If two lines are within ``edits`` edits, some segment of the shorter one is left
+    untouched with few enough edits on either side of it; that bounds by how much its
+    place can have moved, so the places are few.
+    """
+    out = []
+    for less in range(min(edits, length) + 1):
+        for k, (start, size) in enumerate(segments(length - less, edits)):
+            low = max(start - k, start + less - (edits - k), 0)
+            high = min(start + k, start + less + (edits - k), length - size)
+            out += [(less, k, start, at, size) for at in range(low, high + 1)]
+    return sorted(out, key=lambda p: (p[0] > 0 or p[3] != p[2], p))
+
+
+def segment_name(line: str, at: int, size: int, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(line[at : at + size].encode("utf-32-le", "surrogatepass"), seed)
+
+
 def signatures(line: str, edits: int) -> dict[int, bool]:
     """Hashes of (indexed length, segment number, text), true for the line's own segments.
 
     The others are the substrings that may equal a segment of a line shorter by up
-    to ``edits``. If two lines are within ``edits`` edits, some segment of the
-    shorter one is left untouched with few enough edits on either side of it; that
-    bounds by how much its place can have moved, so the probes of one length are few.
+    to ``edits``.
     """
     wide, n, out = line.encode("utf-32-le", "surrogatepass"), len(line), {}
     digest = xxhash.xxh3_64_intdigest
-    for less in range(min(edits, n) + 1):
-        for k, (start, size) in enumerate(segments(n - less, edits)):
-            low = max(start - k, start + less - (edits - k), 0)
-            high = min(start + k, start + less + (edits - k), n - size)
-            seed = (n - less) * (edits + 1) + k
-            for at in range(low, high + 1):
-                sig = digest(wide[4 * at : 4 * (at + size)], seed)
-                if not less and at == start:
-                    out[sig] = True
-                else:
-                    out.setdefault(sig, False)
+    for less, k, start, at, size in places(n, edits):
+        sig = digest(wide[4 * at : 4 * (at + size)], (n - less) * (edits + 1) + k)
+        out.setdefault(sig, not less and at == start)
     return out
 
 
+@lru_cache(4096)
+def next_places(length: int, shorter: int, edits: int) -> list[tuple[int, int, int, int]]:
+    """(segment number, its start, place, size) in what is left of a line, ``length`` characters,
+    of the segments of the bucket's own lines, which have ``shorter`` characters fewer."""
+    own = length - shorter
+    if own > edits:
+        return [p[1:] for p in places(length, edits) if p[0] == shorter]
+    # Too short for a character in each segment. If any two of such lengths are within
+    # the edits, the bucket's centre has settled it; else one character is untouched.
+    return [(edits + 1 + k, k, at, 1) for k in range(own) for at in range(length)] if length > edits else []
+
+
+def narrower(edits: int):
+    """(sig, name, own, label, cuts, whole, line) to (sig, name, own, label, cuts) of the next level.
+
+    A member of a bucket shares a segment with the bucket's lines. ``cuts`` are the starts
+    and sizes of what was cut out of it so far, each in what was left then; of a ``whole``
+    line the segment is still to be cut, wherever it gives ``sig``. The new signatures
+    are those of what is left, under the name of the bucket. A member that is its bucket's
+    ``own`` has its own segments and the places nearby, the others only the latter.
+    """
+
+    def left(line: str, cuts: list[int]) -> str:
+        for start, size in zip(cuts[::2], cuts[1::2]):
+            line = line[:start] + line[start + size :]
+        return line
+
+    def first_cuts(line: str, sig: int) -> Iterator[tuple[list[int], int, bool]]:
+        """(cuts, how much shorter the bucket's own lines are, own)."""
+        for less, k, start, at, size in places(len(line), edits):
+            if segment_name(line, at, size, (len(line) - less) * (edits + 1) + k) == sig:
+                yield [at, size], less, not less and at == start
+
+    def rows(batches):
+        for batch in batches:
+            for sig, name, own, label, cuts, whole, line in zip(*[batch.column(c).to_pylist() for c in ("sig", "name", "own", "label", "cuts", "whole", "line")]):
+                sig, name, label = sig % 2**64, name % 2**64, label % 2**64
+                known = first_cuts(line, sig) if whole else [(cuts[1:], cuts[0], own)]
+                out: dict[tuple[int, str], tuple[bool, list[int]]] = {}
+                for cut, shorter, owned in known:
+                    rest = left(line, cut)
+                    for k, start, at, size in next_places(len(rest), shorter, edits):
+                        mine = owned and at == start
+                        under = (sig * 0x9E3779B97F4A7C15 + k + 1) % 2**64
+                        key = segment_name(rest, at, size, under), rest[:at] + rest[at + size :]
+                        if key not in out or mine:
+                            out[key] = mine, [shorter, *cut, at, size]
+                for (new, _), (mine, cut) in out.items():
+                    yield new, name, mine, label, cut
+
+    return lambda batches: _batched(rows(batches), ["sig", "name", "own", "label", "cuts"])
+
+
 #: Classes of letter pairs, in words of 64 bits.
 PARITY_WORDS = 4
 
@@ -120,7 +186,7 @@ def _batched(rows: Iterator[tuple], columns: list[str], size: int = 20_000) -> I
     def out() -> pa.RecordBatch:
         arrays = []
         for name, values in zip(columns, zip(*part)):
-            arrays.append(pa.array(values) if name in ("line", "doc", "no", "own") else signed(values))
+            arrays.append(pa.array(values) if name in ("line", "doc", "no", "own") else pa.array(values, pa.list_(pa.int32())) if name == "cuts" else signed(values))
         return pa.RecordBatch.from_arrays(arrays, columns)
 
     for row in rows:
