@@ -35,8 +35,14 @@ def places(length: int, edits: int) -> list[tuple[int, int, int, int, int]]:
     return sorted(out, key=lambda p: (p[0] > 0 or p[3] != p[2], p))
 
 
+@lru_cache(4096)
+def signed_places(length: int, edits: int) -> list[tuple[int, int, int, bool]]:
+    """(start, end, seed, own) of the places that give a line its signatures."""
+    return [(at, at + size, (length - less) * (edits + 1) + k, not less and at == start) for less, k, start, at, size in places(length, edits)]
+
+
 def segment_name(line: str, at: int, size: int, seed: int) -> int:
-    return xxhash.xxh3_64_intdigest(line[at : at + size].encode("utf-32-le", "surrogatepass"), seed)
+    return xxhash.xxh3_64_intdigest(line[at : at + size].encode("utf-8", "surrogatepass"), seed)
 
 
 def signatures(line: str, edits: int) -> dict[int, bool]:
@@ -45,11 +51,15 @@ def signatures(line: str, edits: int) -> dict[int, bool]:
     The others are the substrings that may equal a segment of a line shorter by up
     to ``edits``.
     """
-    wide, n, out = line.encode("utf-32-le", "surrogatepass"), len(line), {}
+    out: dict[int, bool] = {}
     digest = xxhash.xxh3_64_intdigest
-    for less, k, start, at, size in places(n, edits):
-        sig = digest(wide[4 * at : 4 * (at + size)], (n - less) * (edits + 1) + k)
-        out.setdefault(sig, not less and at == start)
+    if line.isascii():
+        wide = line.encode()
+        for at, end, seed, own in signed_places(len(line), edits):
+            out.setdefault(digest(wide[at:end], seed), own)
+    else:
+        for at, end, seed, own in signed_places(len(line), edits):
+            out.setdefault(digest(line[at:end].encode("utf-8", "surrogatepass"), seed), own)
     return out
 
 
