@@ -32,7 +32,8 @@ from lakejobs.llm.components import components
 
 EDITS = 2
 #: Up to so many members of a bucket are paired; of larger buckets, those with a second segment in common.
-PAIRED = 64
+#: A further level is a fixed number of jobs, for which a bucket of this size is too small.
+PAIRED = 1000
 MIN_CHARS = 20
 
 
@@ -67,14 +68,14 @@ def classes(texts: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> Dat
     info = found.groupBy("name").agg(F.first("line").alias("line"))
     info = written(info.mapInArrow(lines.with_parity, "name long, line string, chars int, parity array<long>"), "line-info")
 
-    links, settled, first = None, None, True
+    links, settled, fresh, first = None, None, False, True
     while True:
         star = member.filter("name <> centre").select(F.col("name").alias("a"), F.col("centre").alias("b")).distinct()
-        links = _with(links, written(_close(star, info, edits), "line-links"))
-        settled = written(components(links).withColumnRenamed("node", "name"), "line-components")
-        if not first:
-            member = member.drop("label")
-        member = member.drop("centre").join(settled, "name", "left").withColumn("label", F.coalesce("label", "name"))
+        near = written(_close(star, info, edits), "line-links")
+        if first or not near.isEmpty():
+            links, fresh = _with(links, near), False
+            settled = written(components(links).withColumnRenamed("node", "name"), "line-components")
+            member = member.drop("label").join(settled, "name", "left").withColumn("label", F.coalesce("label", "name"))
         open_sigs = member.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
         # A bucket of two was settled by its one pair.
         open_sigs = open_sigs.filter("low < high AND n > 2").select("sig", "n")
@@ -88,11 +89,13 @@ def classes(texts: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> Dat
         other = (F.col("name1") != F.col("name2")) & (F.col("label1") != F.col("label2"))
         pairs = one.join(two, "sig").filter(shorter & other & _near("1", "2", edits))
         pairs = pairs.select(F.col("name1").alias("a"), F.col("name2").alias("b")).distinct()
-        links = _with(links, written(_close(pairs, info, edits), "more-line-links"))
+        near = written(_close(pairs, info, edits), "more-line-links")
+        if not near.isEmpty():
+            links, fresh = _with(links, near), True
 
         many = rest.filter(F.col("n") > PAIRED)
         if many.isEmpty():
-            return components(links).withColumnRenamed("node", "name")
+            return components(links).withColumnRenamed("node", "name") if fresh else settled
         member, first = _narrowed(many, info, edits, first), False
 
 
