@@ -32,8 +32,7 @@ from lakejobs.llm.components import components
 
 EDITS = 2
 #: Up to so many members of a bucket are paired; of larger buckets, those with a second segment in common.
-#: A further level is a fixed number of jobs, for which a bucket of this size is too small.
-PAIRED = 1000
+PAIRED = 64
 MIN_CHARS = 20
 
 
