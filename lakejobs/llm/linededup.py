@@ -12,7 +12,9 @@ different components paired, after the parities of their letter pairs, which no
 two lines within the edits can differ in by much, rule out nearly all strangers.
 A bucket of more than ``PAIRED`` members is not paired but split by the segments of
 what is left of the lines without the common one, again and again as long as it is
-large: lines within the edits must agree in one of these too.
+large: lines within the edits must agree in one of these too. Components are found
+after the first level and at the end; between, a bucket only notes who is linked with
+its centre.
 
 Defined cases: lines shorter than ``MIN_CHARS`` characters (headings, blank lines)
 are never removed. A null or empty text stays as it is. The lines of a null id
@@ -67,14 +69,18 @@ def classes(texts: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> Dat
     info = found.groupBy("name").agg(F.first("line").alias("line"))
     info = written(info.mapInArrow(lines.with_parity, "name long, line string, chars int, parity array<long>"), "line-info")
 
-    links, settled, fresh, first = None, None, False, True
+    links, first = None, True
     while True:
         star = member.filter("name <> centre").select(F.col("name").alias("a"), F.col("centre").alias("b")).distinct()
         near = written(_close(star, info, edits), "line-links")
-        if first or not near.isEmpty():
-            links, fresh = _with(links, near), False
+        links = _with(links, near)
+        if first:
             settled = written(components(links).withColumnRenamed("node", "name"), "line-components")
-            member = member.drop("label").join(settled, "name", "left").withColumn("label", F.coalesce("label", "name"))
+            member = member.join(settled, "name", "left").withColumn("label", F.coalesce("label", "name"))
+        else:
+            # Who is linked with a bucket's centre takes its label, in that bucket; that is all the next level needs.
+            linked = near.select(F.col("a").alias("name"), F.col("b").alias("centre"), F.lit(True).alias("linked"))
+            member = member.join(linked, ["name", "centre"], "left").withColumn("label", F.when(F.col("linked"), F.col("centre_label")).otherwise(F.col("label")))
         open_sigs = member.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
         # A bucket of two was settled by its one pair.
         open_sigs = open_sigs.filter("low < high AND n > 2").select("sig", "n")
@@ -89,12 +95,12 @@ def classes(texts: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> Dat
         pairs = one.join(two, "sig").filter(shorter & other & _near("1", "2", edits))
         pairs = pairs.select(F.col("name1").alias("a"), F.col("name2").alias("b")).distinct()
         near = written(_close(pairs, info, edits), "more-line-links")
-        if not near.isEmpty():
-            links, fresh = _with(links, near), True
+        more = not near.isEmpty()
+        links = _with(links, near) if more else links
 
         many = rest.filter(F.col("n") > PAIRED)
         if many.isEmpty():
-            return components(links).withColumnRenamed("node", "name") if fresh else settled
+            return components(links).withColumnRenamed("node", "name") if more or not first else settled
         member, first = _narrowed(many, info, edits, first), False
 
 
@@ -117,7 +123,7 @@ def _narrowed(many: DataFrame, info: DataFrame, edits: int, first: bool) -> Data
     shared = written(shared.filter("low < high AND centre IS NOT NULL").select("sig", "centre", "centre_label"), "narrower-signatures")
     # A line of the centre's component needs no comparison with it.
     settled = F.when(F.col("label") == F.col("centre_label"), F.col("name")).otherwise(F.col("centre"))
-    return written(deeper.join(shared, "sig").select("sig", "name", "own", "label", "cuts", settled.alias("centre")), "members")
+    return written(deeper.join(shared, "sig").select("sig", "name", "own", "label", "cuts", settled.alias("centre"), "centre_label"), "members")
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
