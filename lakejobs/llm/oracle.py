@@ -37,14 +37,18 @@ bins AS (
   SELECT rid, lang, n_words, 'word', unnest(range(1, len(counts) + 2)), unnest(list_append(counts, n_words - list_sum(counts))) / greatest(n_words, 1) FROM p),
 long_rows AS (SELECT * FROM bins WHERE n_words >= {quality.MIN_HISTOGRAM_WORDS}),
 langs AS (SELECT lang, count(*) AS n FROM p WHERE n_words >= {quality.MIN_HISTOGRAM_WORDS} GROUP BY lang),
-own_langs AS (SELECT lang FROM langs WHERE lang IS NOT NULL AND n >= {quality.MIN_LANGUAGE_SHARE} * (SELECT sum(n) FROM langs)),
+own_langs AS (SELECT lang FROM langs WHERE lang IS NOT NULL AND (n >= {quality.MIN_LANGUAGE_SHARE} * (SELECT sum(n) FROM langs) OR n >= {quality.MIN_LANGUAGE_DOCS})),
 own AS (SELECT lang, kind, k, avg(share) AS q FROM long_rows SEMI JOIN own_langs USING (lang) GROUP BY ALL),
 pooled AS (SELECT kind, k, avg(share) AS q FROM long_rows GROUP BY ALL),
-both_shares AS (SELECT b.rid, b.kind, b.share AS p, CASE WHEN o.lang IS NULL THEN a.q ELSE w.q END AS q
-  FROM bins b LEFT JOIN own_langs o ON b.lang = o.lang LEFT JOIN own w ON w.lang = b.lang AND w.kind = b.kind AND w.k = b.k
-  LEFT JOIN pooled a ON a.kind = b.kind AND a.k = b.k),
-dist AS (SELECT rid, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS js
-  FROM both_shares GROUP BY rid, kind),
+refs AS (SELECT lang AS ref, kind, k, q FROM own
+  UNION ALL SELECT NULL, kind, k, q FROM pooled WHERE kind = 'class' AND NOT EXISTS (SELECT 1 FROM own_langs)),
+owned AS (SELECT b.*, o.lang AS own_lang FROM bins b LEFT JOIN own_langs o ON b.lang = o.lang),
+both_shares AS (SELECT b.rid, b.kind, r.ref, b.share AS p, r.q FROM owned b JOIN refs r ON r.ref = b.own_lang AND r.kind = b.kind AND r.k = b.k
+  UNION ALL SELECT b.rid, b.kind, r.ref, b.share, r.q FROM owned b JOIN refs r ON r.kind = b.kind AND r.k = b.k
+  WHERE b.own_lang IS NULL AND (b.kind = 'class' OR b.lang IS NULL)),
+by_ref AS (SELECT rid, kind, ref, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS js
+  FROM both_shares GROUP BY rid, kind, ref),
+dist AS (SELECT rid, kind, min(js) AS js FROM by_ref GROUP BY rid, kind),
 base AS (SELECT p.*, coalesce(cov.n, 0) AS n_repeat_words, n_words < {quality.MIN_WORDS} OR 100 * coalesce(cov.n, 0) > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed
   FROM p LEFT JOIN cov USING (rid))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,

@@ -11,8 +11,10 @@ language with ``MIN_LANGUAGE_DOCS`` long documents or ``MIN_LANGUAGE_SHARE`` of
 has its own reference. A null language is compared with the nearest reference of all.
 So are the classes of a rarer language, whose words are not judged, since none of the
 references speaks for them. Without any reference by language, words are not judged
-and classes are compared with the mean of all documents. Repeated rows are judged alike. An empty table gives an empty result. All columns of the input
-are carried along, whatever their names.
+and classes are compared with the mean of all documents. Documents that lack a reference
+meet those of all languages in blocks of about ``BLOCK``, joined by the number of the
+block. Repeated rows are judged alike. An empty table gives an empty result. All columns
+of the input are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ MAX_WORD_DISTANCE = 0.3
 #: A language with so many long documents, or this share of them, has a reference.
 MIN_LANGUAGE_DOCS = 100
 MIN_LANGUAGE_SHARE = 0.01
+#: References that documents without one of their own are compared with at a time, about.
+BLOCK = 128
 
 
 def profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -97,8 +101,8 @@ def references(profiled: DataFrame) -> DataFrame:
     by_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum(b).alias(x) for b, x in zip(bins, names)])
     by_lang = written(by_lang, "language-sums")
     every = by_lang.agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).withColumn("lang", F.lit(None).cast("string"))
-    least = every.select((F.col("n") * MIN_LANGUAGE_SHARE).alias("least"))
-    own = by_lang.filter("lang IS NOT NULL").join(F.broadcast(least), (F.col("n") >= F.col("least")) | (F.col("n") >= MIN_LANGUAGE_DOCS)).drop("least")
+    least = (by_lang.agg(F.sum("n")).first()[0] or 0) * MIN_LANGUAGE_SHARE
+    own = by_lang.filter(F.col("lang").isNotNull() & ((F.col("n") >= least) | (F.col("n") >= MIN_LANGUAGE_DOCS)))
     means = [F.col(x) / F.col("n") for x in names]
     return own.unionByName(every).filter("n > 0").select(
         F.col("lang").alias("ref_lang"),
@@ -141,23 +145,32 @@ def verdicts(profiled: DataFrame, refs: DataFrame) -> DataFrame:
     """The profiled rows with base_failed, class_distance, word_distance and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     own = refs.filter("ref_lang IS NOT NULL")
-    # All references in one row, for documents that have none of their own.
-    each = F.collect_list(F.when(F.col("ref_lang").isNotNull(), F.struct("ref_class", "ref_word")))
-    every = refs.agg(each.alias("every"), F.first(F.when(F.col("ref_lang").isNull(), F.col("ref_class")), ignorenulls=True).alias("all_class"))
+    n = own.count()
+    # Without references by language, the mean of all documents stands in for classes.
+    each = own if n else refs.withColumn("ref_word", F.lit(None).cast("array<double>"))
+    parts = max(1, -(-n // BLOCK))
+    block = F.pmod(F.xxhash64("ref_lang"), F.lit(parts)).cast("int")
+    blocks = written(each.groupBy(block.alias("block")).agg(F.collect_list(F.struct("ref_class", "ref_word")).alias("refs")), "reference-blocks")
     rows = profiled.withColumn("base_failed", failed)
     # References by language may be many, so they are broadcast only if they are small.
-    rows = rows.join(own, F.col("lang") == F.col("ref_lang"), "left").join(F.broadcast(every), F.lit(True), "left")
+    rows = rows.join(own, F.col("lang") == F.col("ref_lang"), "left")
     classes, words_ = _shares("n_classes"), _shares("n_common")
-    nearest_class = F.array_min(F.transform("every", lambda x: js_distance(classes, x["ref_class"])))
-    nearest_word = F.array_min(F.transform("every", lambda x: js_distance(words_, x["ref_word"])))
+    rows = rows.withColumns({c: F.lit(None).cast("double") for c in ("near_class", "near_word")})
+    for k in range(parts):
+        # The key is null for documents with a reference of their own, which are not compared here.
+        lacks = F.when(F.col("ref_lang").isNull(), F.lit(k))
+        rows = rows.join(F.broadcast(blocks.filter(F.col("block") == k)), lacks == F.col("block"), "left")
+        rows = rows.withColumns({
+            "near_class": F.least("near_class", F.array_min(F.transform("refs", lambda x: js_distance(classes, x["ref_class"])))),
+            "near_word": F.least("near_word", F.array_min(F.transform("refs", lambda x: js_distance(words_, x["ref_word"])))),
+        }).drop("block", "refs")
     rows = rows.withColumns({
-        "class_distance": F.when(F.col("ref_lang").isNotNull(), js_distance(classes, F.col("ref_class")))
-        .otherwise(F.coalesce(nearest_class, js_distance(classes, F.col("all_class")))),
-        "word_distance": F.when(F.col("ref_lang").isNotNull(), js_distance(words_, F.col("ref_word"))).when(F.col("lang").isNull(), nearest_word),
+        "class_distance": F.when(F.col("ref_lang").isNotNull(), js_distance(classes, F.col("ref_class"))).otherwise(F.col("near_class")),
+        "word_distance": F.when(F.col("ref_lang").isNotNull(), js_distance(words_, F.col("ref_word"))).when(F.col("lang").isNull(), F.col("near_word")),
     })
     alike = F.coalesce(F.col("class_distance") <= MAX_CLASS_DISTANCE, F.lit(True))
     usual = (F.col("n_words") < MIN_HISTOGRAM_WORDS) | F.coalesce(F.col("word_distance") <= MAX_WORD_DISTANCE, F.lit(True))
-    return rows.withColumn("kept", ~F.col("base_failed") & alike & usual).drop("ref_lang", "ref_class", "ref_word", "every", "all_class")
+    return rows.withColumn("kept", ~F.col("base_failed") & alike & usual).drop("ref_lang", "ref_class", "ref_word", "near_class", "near_word")
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -172,7 +185,7 @@ def judge_ids(docs: DataFrame, key: str, text: str = "text", lang: str = "lang")
     The profiles are stored, which saves the second pass over the texts.
     """
     profiled = written(profiles(docs, text, lang).withColumn("row", F.struct(F.col("row")[key].alias(key))), "profiles")
-    return verdicts(profiled, references(profiled))
+    return verdicts(profiled, written(references(profiled), "references"))
 
 
 def keep(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
