@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 
 # Tasks that share one hot partition value when AQE cannot split it.
 SALTS = 32
+# Rows at most that `spread` gives to a task; the flights made of them are sorted by month, 12 for each.
+ROWS_PER_TASK = 200_000
 
 
 def _is_path(table: str) -> bool:
@@ -132,10 +134,14 @@ def cluster_by(df: DataFrame, column: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out again if there are fewer tasks than cores, as for one small
-    file from which much is made. Use it on few, narrow columns."""
+    """Deal the rows out again if there are fewer tasks than cores, or if tasks could get
+    more than ``ROWS_PER_TASK`` rows, as for few files from which much is made: what a
+    task holds then does not grow with the table. Use it on few, narrow columns."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = -(-df.count() // ROWS_PER_TASK)
+    if df.rdd.getNumPartitions() >= cores and tasks <= 1:
+        return df
+    return df.repartition(max(cores, tasks))
 
 
 def rebuild_partitioned(df: DataFrame, table: str, column: str, clustered: bool = False) -> None:

@@ -8,7 +8,7 @@ from lakejobs import jobs
 from lakejobs.operators.ordering import first_match, latest, order_by
 from lakejobs.plans.report import scan_facts
 from lakejobs.session import load
-from lakejobs.sources.tables import cluster_by, read_table, rebuild_partitioned
+from lakejobs.sources.tables import cluster_by, read_table, rebuild_partitioned, spread
 
 from plan_text import plan
 
@@ -150,3 +150,12 @@ def test_first_match_of_a_hot_key(spark):
 
 def test_rebalance_is_used(spark, tiny):
     assert "REBALANCE" in plan(cluster_by(load(spark, tiny, "events"), "event_type"))
+
+
+def test_spread_bounds_the_rows_of_a_task(spark, monkeypatch):
+    """The tasks grow with the table, so that what each makes of its keys does not."""
+    monkeypatch.setattr("lakejobs.sources.tables.ROWS_PER_TASK", 1_000)
+    rows = spread(spark.range(0, 20_000, 1, 8))
+    assert rows.count() == 20_000
+    assert max(rows.groupBy(F.spark_partition_id()).count().toDF("p", "n").toPandas()["n"]) <= 1_010
+    assert spread(spark.range(0, 900, 1, 8)).rdd.getNumPartitions() == 8
