@@ -1,46 +1,59 @@
 """License scans by a trained paragraph classifier, in DataFrame functions only.
 
-1. Paragraphs (lines) that speak of rights at all, by an anchor word, are taken.
-2. Distinct ones are scored by a logistic regression over sparse word n-grams,
-   with a class for each license family and one for other uses of such words. Its
-   scores are divided by a temperature that is fitted on held-out rows.
+1. Every line is scored, and every paragraph that runs over several lines as a whole
+   too: up to a blank line or a line that ends a sentence. No list of words decides
+   what is looked at.
+2. The scores are those of a logistic regression over sparse word n-grams, with a
+   class for each license family and one for all else. They are divided by a
+   temperature that is fitted on held-out rows.
 3. A family that reaches ``SURE`` must be confirmed by one of its templates, of
    which the paragraph has to hold enough words. All other paragraphs that are
    not clearly something else are "unknown".
+4. What a line says by itself stands. A whole paragraph adds a family that none of
+   its lines has, and takes the place of its unknown lines.
 
 The classifier is trained on the notices below, their mentions with words left
-out, and a bounded sample of corpus paragraphs as negatives. Its vocabulary is at
-most ``VOCABULARY`` n-grams, so the weights may be broadcast.
+out, and a bounded sample of corpus paragraphs as negatives, of which those that
+may speak of rights are left out. Its vocabulary is at most ``VOCABULARY`` n-grams,
+so the model may be broadcast.
 
 Defined cases: a null or empty text has no paragraphs. Nulls and repeats of ids are
-told apart by the paragraphs themselves; repeated rows give the same result. Equal
-paragraphs are scored once, however many documents have them. Empty tables give
-empty results. Other columns are not looked at.
+told apart; repeated rows give the same result. Empty tables give empty results.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+import numpy as np
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, NGram
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakejobs.llm.common import SPACES, written
 
-# Words by which a paragraph is taken, and notices of license families.
+# Words by which a paragraph may speak of rights, so that it is no negative, and notices of license families.
 ANCHORS = ["licen", "copyright", "spdx", "permission", "redistribut", "all rights reserved", "public domain", "creative commons", "warrant"]
+NAMES = r"lizen[sz]|\b(apache|[al]?gpl|bsd|mpl|cc0|cc[ -]by)"
 NOTICES = {
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0",
         "This project is released under the Apache 2.0 license.",
+        "Code: Apache-2.0",
+        "Lizenziert unter der Apache-Lizenz, Version 2.0.",
     ],
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT license.",
+        "Code: MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "Veröffentlicht unter der MIT-Lizenz.",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     ],
@@ -49,6 +62,8 @@ NOTICES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "Licensed under the GPL version 2 or later.",
+        "Distributed under the GPL v3.",
+        "Code: GPL-3.0",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
@@ -59,6 +74,7 @@ NOTICES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Released under the BSD 3-Clause License.",
         "Licensed under the 2-clause BSD license.",
+        "Code: BSD-3-Clause",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "mpl": [
@@ -75,6 +91,8 @@ NOTICES = {
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Text is available under the CC BY-SA 4.0 license.",
+        "Text is available under CC BY-SA 4.0.",
+        "Dieses Werk ist lizenziert unter einer Creative Commons Namensnennung 4.0 International Lizenz.",
     ],
     "cc0": [
         "Released into the public domain under CC0 1.0.",
@@ -99,6 +117,10 @@ OTHER_USES = [
     "The license plate was found near the bridge.",
     "Pilots must hold a valid licence and a medical certificate.",
     "No part of this book may be reproduced without permission of the publisher.",
+    "He studied physics at MIT and works in Boston.",
+    "The Apache helicopter landed near the village.",
+    "The code of the door was changed under the new version of the rules.",
+    "Er wurde unter der Bedingung entlassen, mit der Arbeit zu beginnen.",
 ]
 NONE = "none"
 VOCABULARY = 4_000
@@ -128,8 +150,9 @@ def grams(w: Column) -> Column:
 
 
 def has_anchor(text: Column) -> Column:
+    """Whether a text may speak of rights. Such ones are no negatives; all are scored."""
     low = F.lower(text)
-    return reduce(lambda a, b: a | b, [low.contains(a) for a in ANCHORS])
+    return reduce(lambda a, b: a | b, [low.contains(a) for a in ANCHORS]) | low.rlike(NAMES)
 
 
 def training_rows(spark: SparkSession, paragraphs: DataFrame) -> DataFrame:
@@ -145,76 +168,124 @@ def training_rows(spark: SparkSession, paragraphs: DataFrame) -> DataFrame:
     return copies.unionByName(negatives).select("family", "text", (F.col("copy") % 4 == 3).alias("held"))
 
 
-def scores(rows: DataFrame, key: str, weights: DataFrame) -> DataFrame:
-    """(key, family, score) for rows with the key and their ``grams``."""
-    bias = weights.filter("gram = ''").select("family", F.col("weight").alias("bias"))
-    own = weights.filter("gram <> ''")
-    each = rows.select(key, F.explode("grams").alias("gram")).join(F.broadcast(own), "gram")
-    each = each.groupBy(key, "family").agg(F.sum("weight").alias("sum"))
-    full = rows.select(key).join(F.broadcast(bias))
-    full = full.join(each, [key, "family"], "left")
-    return full.select(key, "family", (F.col("bias") + F.coalesce("sum", F.lit(0.0))).alias("score"))
+FAMILIES = sorted([*NOTICES, NONE])
 
 
-def fit(spark: SparkSession, docs: DataFrame, text: str = "text") -> tuple[DataFrame, float]:
-    """(weights, temperature): weights are (gram, family, weight), the bias under an empty gram."""
+def scored(rows: DataFrame, vectors: CountVectorizerModel, model: LogisticRegressionModel) -> DataFrame:
+    """Adds ``scores``, one for each of ``FAMILIES``, to rows with words ``w``; no row is moved for it."""
+    out = NGram(n=3, inputCol="w", outputCol="w3").transform(NGram(n=2, inputCol="w", outputCol="w2").transform(rows))
+    out = model.transform(vectors.transform(out.withColumn("grams", F.concat("w", "w2", "w3"))))
+    # Exploded, as a filter on plain columns would be pushed below and make the scores for each use anew.
+    once = F.explode(F.array(vector_to_array("rawPrediction"))).alias("scores")
+    return out.select(*rows.columns, once)
+
+
+def spread_of(temperature: float) -> Column:
+    """The logarithm of the sum that the highest of ``scores`` is divided by to be a probability."""
+    high = F.array_max("scores")
+    return F.log(F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.exp((x - high) / temperature)))
+
+
+def fit(spark: SparkSession, docs: DataFrame, text: str = "text") -> tuple[CountVectorizerModel, LogisticRegressionModel, float]:
+    """(n-grams, classifier, temperature); the classifier's labels are places in ``FAMILIES``."""
     lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("text"))
     lines = lines.filter(F.length("text").between(20, 400))
-    rows = written(training_rows(spark, lines).withColumn("grams", grams(split_words(F.col("text")))), "license-training")
-    families = sorted([*NOTICES, NONE])
-    rows = rows.withColumn("label", F.array_position(F.lit(families), F.col("family")).cast("double") - 1)
+    rows = training_rows(spark, lines).withColumn("w", split_words(F.col("text")))
+    rows = written(rows.withColumn("grams", grams(F.col("w"))), "license-training")
+    rows = rows.withColumn("label", F.array_position(F.lit(FAMILIES), F.col("family")).cast("double") - 1)
     vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, minDF=2.0, binary=True).fit(rows)
     model = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.2, maxIter=MAX_ITERATIONS, standardization=False)
-    fitted = model.fit(vectors.transform(rows.filter("NOT held")))
-    matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
-    flat = [(g, f, float(matrix[i, j])) for i, f in enumerate(families) for j, g in enumerate(vectors.vocabulary) if matrix[i, j]]
-    flat += [("", f, float(bias[i])) for i, f in enumerate(families)]
-    weights = written(spark.createDataFrame(flat, "gram string, family string, weight double"), "license-weights")
-    held = rows.filter("held").select(F.monotonically_increasing_id().alias("id"), F.col("family").alias("truth"), "grams")
-    held = written(held, "license-held-out")
-    scored = scores(held, "id", weights).join(held.select("id", "truth"), "id")
-    losses = []
-    for t in TEMPERATURES:
-        one = scored.groupBy("id").agg(F.log(F.sum(F.exp(F.col("score") / t))).alias("z"), F.sum(F.when(F.col("family") == F.col("truth"), F.col("score") / t)).alias("s"))
-        losses.append(one.agg(F.avg(F.col("z") - F.col("s")).alias("loss")).withColumn("t", F.lit(t)))
-    best = reduce(DataFrame.unionByName, losses).orderBy(F.col("loss").asc_nulls_last(), "t").first()
-    return weights, best["t"]
-
-
-def classify(spark: SparkSession, paragraphs: DataFrame, weights: DataFrame, temperature: float) -> DataFrame:
-    """(text, family, probability) of distinct paragraphs: a family, "unknown" or "none"."""
-    rows = paragraphs.select("text").withColumn("w", split_words(F.col("text"))).withColumn("grams", grams(F.col("w")))
-    rows = written(rows, "license-paragraphs")
-    scored = scores(rows, "text", weights)
-    top = scored.groupBy("text").agg(
-        F.max(F.struct("score", "family")).alias("top"), F.max("score").alias("high")
-    )
-    share = scored.join(top.select("text", "high"), "text").groupBy("text").agg(F.sum(F.exp((F.col("score") - F.col("high")) / temperature)).alias("z"))
-    top = top.join(share, "text").select("text", F.col("top.family").alias("guess"), (1 / F.col("z")).alias("probability"))
+    model = model.fit(vectors.transform(rows.filter("NOT held"))).setProbabilityCol("").setPredictionCol("")
+    held = scored(rows.filter("held").drop("grams"), vectors, model)
+    held = held.select("scores", (F.array_max("scores") - F.get("scores", F.col("label").cast("int"))).alias("short"))
+    losses = [F.avg(spread_of(t) + F.col("short") / t) for t in TEMPERATURES]
+    return vectors, model, min(zip(held.agg(*losses).first(), TEMPERATURES))[1]
+
+
+def pieces(text: Column) -> Column:
+    """The runs of letters and digits in lower case: a cheap way to see that a word is not there."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+
+
+def telling(vectors: CountVectorizerModel, model: LogisticRegressionModel, temperature: float) -> list[str]:
+    """A piece of each n-gram that may lift a paragraph above ``NONE``; without any it is none.
+
+    That are the n-grams that speak for any family rather than for none, but for some
+    common ones that cannot do it, not even all of them together. Of an n-gram, the rarest
+    piece is taken, by its place in the vocabulary.
+    """
+    none = FAMILIES.index(NONE)
+    weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    margins, sums = np.maximum(weights - weights[none], 0), bias - bias[none]
+    place = {gram: j for j, gram in enumerate(vectors.vocabulary)}
+    out = set()
+    for gram, j in place.items():
+        # All classes together, of which none has 1, must stay below what leaves it ``SURE``.
+        if np.exp((sums + margins[:, j]) / temperature).sum() < 1 / SURE:
+            sums = sums + margins[:, j]
+        elif margins[:, j].any():
+            out.add(max((x for x in re.split(r"[\W_]+", gram) if x), key=lambda x: place.get(x, len(place))))
+    return sorted(out)
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    """(family, templates): the distinct words of each notice with their weights, 1 at most."""
     notices = [(family, notice) for family, all_of in NOTICES.items() for notice in all_of]
-    templates = spark.createDataFrame(notices, "family string, notice string")
-    templates = templates.select("family", "notice", F.explode(F.array_distinct(split_words(F.col("notice")))).alias("word"))
+    table = spark.createDataFrame(notices, "family string, notice string")
+    table = table.select("family", "notice", F.explode(F.array_distinct(split_words(F.col("notice")))).alias("word"))
     # A word counts the less, the more families use it.
-    common = templates.groupBy("word").agg((1 / F.count_distinct("family")).alias("weight"))
-    templates = templates.join(common, "word")
-    held = F.sum(F.when(F.array_contains("w", F.col("word")), F.col("weight")).otherwise(0.0)) / F.sum("weight")
-    confirmed = rows.join(top, "text").join(F.broadcast(templates), F.col("guess") == F.col("family"), "left")
-    confirmed = confirmed.groupBy("text", "guess", "probability", "notice").agg(held.alias("held"))
-    confirmed = confirmed.groupBy("text", "guess", "probability").agg(F.max("held").alias("held"))
-    family = (
-        F.when((F.col("guess") == NONE) & (F.col("probability") >= SURE), NONE)
-        .when((F.col("guess") != NONE) & (F.col("probability") >= SURE) & (F.col("held") >= CONFIRMED), F.col("guess"))
-        .otherwise("unknown")
-    )
-    return confirmed.select("text", family.alias("family"), "probability")
+    common = table.groupBy("word").agg((1 / F.count_distinct("family")).alias("weight"))
+    each = table.join(common, "word").groupBy("family", "notice").agg(F.sort_array(F.collect_list(F.struct("word", "weight"))).alias("template"))
+    return each.groupBy("family").agg(F.collect_list("template").alias("templates"))
+
+
+def classify(spark: SparkSession, paragraphs: DataFrame, vectors: CountVectorizerModel, model: LogisticRegressionModel, temperature: float) -> DataFrame:
+    """The rows that are not clearly something else, with their family or "unknown" and its probability."""
+    rows = paragraphs.filter(F.arrays_overlap(pieces(F.col("text")), F.lit(telling(vectors, model, temperature))))
+    rows = scored(rows.withColumn("w", split_words(F.col("text"))), vectors, model)
+    top = F.element_at(F.lit(FAMILIES), F.array_position("scores", F.array_max("scores")).cast("int"))
+    rows = rows.withColumn("guess", top).withColumn("probability", F.exp(-spread_of(temperature)))
+    rows = rows.filter((F.col("guess") != NONE) | (F.col("probability") < SURE)).drop("scores")
+    rows = rows.join(F.broadcast(templates(spark)), F.col("guess") == F.col("family"), "left").drop("family")
+
+    def weight(template: Column, counted) -> Column:
+        return F.aggregate(template, F.lit(0.0), lambda a, x: a + F.when(counted(x["word"]), x["weight"]).otherwise(0.0))
+
+    held = F.array_max(F.transform("templates", lambda t: weight(t, lambda x: F.array_contains("w", x)) / weight(t, lambda x: F.lit(True))))
+    sure = (F.col("guess") != NONE) & (F.col("probability") >= SURE) & (held >= CONFIRMED)
+    return rows.withColumn("family", F.when(sure, F.col("guess")).otherwise("unknown")).drop("w", "guess", "templates")
+
+
+def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, key, first, paragraph, text, joined): each line, and each paragraph of several lines as one.
+
+    ``paragraph`` is a line's number, ``first`` that of the paragraph's first line. A
+    paragraph ends with a blank line, a sentence that ends with a line, or the text.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias("key"), F.split(docs[text], "\n", -1).alias("lines"))
+    blank = lambda c: ~c.rlike(r"[\p{L}\p{N}]")
+    ended = lambda c: c.rlike(r"""[.!?:;]["')\]*/]*\s*$""") | blank(c)
+    ends = F.transform("lines", lambda x, i: F.when(ended(x) | (i + 1 == F.size("lines")) | blank(F.get("lines", i + 1)), i))
+    rows = rows.withColumn("ends", F.filter(ends, lambda i: i.isNotNull()))
+    first = lambda k: F.when(k > 0, F.get("ends", k - 1) + 1).otherwise(0)
+    part = F.transform("ends", lambda end, k: F.struct(first(k).alias("first"), F.slice("lines", first(k) + 1, end - first(k) + 1).alias("part")))
+    rows = rows.select("row", "key", F.explode(part).alias("p")).select("row", "key", "p.first", "p.part")
+    unit = lambda at, text, joined: F.struct(at.cast("int").alias("paragraph"), F.trim(text).alias("text"), F.lit(joined).alias("joined"))
+    units = F.transform("part", lambda x, i: unit(F.col("first") + i, x, False))
+    whole = F.array(unit(F.col("first"), F.array_join("part", " "), True))
+    units = F.when(F.size("part") > 1, F.concat(units, whole)).otherwise(units)
+    units = F.filter(units, lambda x: x["text"] != "")
+    return rows.select("row", "key", "first", F.explode(units).alias("u")).select("row", "key", "first", "u.*")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, paragraph, text, family, probability) of every paragraph with an anchor."""
+    """(key, paragraph, text, family, probability) of every paragraph that is a notice, or may be one ("unknown")."""
     spark = docs.sparkSession
-    weights, temperature = fit(spark, docs, text)
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("whole")).filter(has_anchor(F.col("whole")))
-    parts = rows.select("key", F.posexplode(F.split("whole", "\n")).alias("paragraph", "text"))
-    parts = written(parts.filter(has_anchor(F.col("text"))).select("key", "paragraph", F.trim("text").alias("text")), "license-lines")
-    families = written(classify(spark, parts.select("text").distinct(), weights, temperature), "license-families")
-    return parts.join(families, "text")
+    vectors, model, temperature = fit(spark, docs, text)
+    found = written(classify(spark, paragraphs(docs, key, text), vectors, model, temperature), "license-paragraphs")
+    lines, whole = found.filter("NOT joined"), found.filter("joined AND family <> 'unknown'")
+    same = whole.select("row", "first", F.lit(True).alias("named"))
+    kept = lines.join(same, ["row", "first"], "left").filter("family <> 'unknown' OR named IS NULL")
+    added = whole.join(lines.select("row", "first", "family"), ["row", "first", "family"], "left_anti")
+    columns = ["key", "paragraph", "text", "family", "probability"]
+    return kept.select(*columns).unionByName(added.select(*columns))
