@@ -190,7 +190,8 @@ def fit(spark: SparkSession, docs: DataFrame, text: str = "text") -> tuple[Count
     """(n-grams, classifier, temperature); the classifier's labels are places in ``FAMILIES``."""
     lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("text"))
     lines = lines.filter(F.length("text").between(20, 400))
-    rows = training_rows(spark, lines).withColumn("w", split_words(F.col("text")))
+    # Stored first, or the words of all lines would be made below the limit, and all be sorted.
+    rows = written(training_rows(spark, lines), "license-negatives").withColumn("w", split_words(F.col("text")))
     rows = written(rows.withColumn("grams", grams(F.col("w"))), "license-training")
     rows = rows.withColumn("label", F.array_position(F.lit(FAMILIES), F.col("family")).cast("double") - 1)
     vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, minDF=2.0, binary=True).fit(rows)
