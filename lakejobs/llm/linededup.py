@@ -10,11 +10,10 @@ size drops most others before they are shuffled. In each bucket all lines are
 compared with one of them; only where several components are left are lines of
 different components paired, after the parities of their letter pairs, which no
 two lines within the edits can differ in by much, rule out nearly all strangers.
-A bucket of more than ``PAIRED`` members is not paired but split by the segments of
-what is left of the lines without the common one, again and again as long as it is
-large: lines within the edits must agree in one of these too. Components are found
-after the first level and at the end; between, a bucket only notes who is linked with
-its centre.
+A bucket of more than ``PAIRED`` members is not paired but split by where its lines leave
+one of them, forwards and backwards; pairs that do not leave it together are equal after
+a change at these places, which gives links in proportion to the members. Components are
+found after the first level and at the end.
 
 Defined cases: lines shorter than ``MIN_CHARS`` characters (headings, blank lines)
 are never removed. A null or empty text stays as it is. The lines of a null id
@@ -33,8 +32,8 @@ from lakejobs.llm.common import marked, written
 from lakejobs.llm.components import components
 
 EDITS = 2
-#: Up to so many members of a bucket are paired; of larger buckets, those with a second segment in common.
-PAIRED = 64
+#: Up to so many members of a bucket are paired; larger buckets are split.
+PAIRED = 256
 MIN_CHARS = 20
 
 
@@ -69,39 +68,99 @@ def classes(texts: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> Dat
     info = found.groupBy("name").agg(F.first("line").alias("line"))
     info = written(info.mapInArrow(lines.with_parity, "name long, line string, chars int, parity array<long>"), "line-info")
 
+    star = member.filter("name <> centre").select(F.col("name").alias("a"), F.col("centre").alias("b")).distinct()
+    links = written(_close(star, info, edits), "line-links")
+    settled = written(components(links).withColumnRenamed("node", "name"), "line-components")
+    member = member.join(settled, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    open_sigs = member.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+    # A bucket of two was settled by its one pair.
+    open_sigs = open_sigs.filter("low < high AND n > 2").select("sig", "n")
+    rest = written(member.join(open_sigs, "sig").select("sig", "name", "own", "label", "n"), "open-members")
+    more = _open_links(rest, info, edits) if edits <= 2 else _open_links_by_segments(rest, info, edits)
+    return settled if more.isEmpty() else components(links.unionByName(more)).withColumnRenamed("node", "name")
+
+
+def _pairs(few: DataFrame, info: DataFrame, edits: int) -> DataFrame:
+    """The pairs (a, b) of different components in a bucket that may be within the edits."""
+    few = few.select("sig", "name", "own", "label").join(info.select("name", "chars", "parity"), "name")
+    # A signature finds a pair by the shorter line's own segment.
+    one, two = _numbered(few.filter("own"), "1", ["sig"]), _numbered(few, "2", ["sig"])
+    shorter = (F.col("chars1") < F.col("chars2")) | ((F.col("chars1") == F.col("chars2")) & (F.col("name1") < F.col("name2")))
+    other = (F.col("name1") != F.col("name2")) & (F.col("label1") != F.col("label2"))
+    pairs = one.join(two, "sig").filter(shorter & other & _near("1", "2", edits))
+    return pairs.select(F.col("name1").alias("a"), F.col("name2").alias("b")).distinct()
+
+
+def _open_links(rest: DataFrame, info: DataFrame, edits: int) -> DataFrame:
+    """Links (a, b) between components, by the members of the buckets that hold several.
+
+    Large buckets are split by where their lines leave one of them, the middle. Two lines that
+    leave it at different places, or at one place with different characters, differ first at
+    the nearer place; the same holds from the end. That is where their edits are, so both are
+    changed there, towards the middle, and are equal then. Other pairs leave the middle
+    together, forwards or backwards, and get a smaller bucket each.
+    """
+    few, changed = rest.filter(F.col("n") <= PAIRED).drop("n"), None
+    many = rest.filter(F.col("n") > PAIRED)
+    # The line with most company is like most others, so that few leave it together. Any middle gives all links.
+    more = not many.isEmpty()
+    if more:
+        company = written(many.groupBy("name").agg(F.sum("n").alias("company")), "company")
+        many = many.join(company, "name")
+    while more:
+        middle = written(many.groupBy("sig").agg(F.max_by("name", F.struct("company", "name")).alias("middle")), "middles")
+        many = written(many.join(middle, "sig").select("sig", "name", "own", "label", "middle"), "large-buckets")
+        beside = many.select("name", "label", "middle").distinct().join(info.select("name", "line"), "name")
+        beside = beside.join(info.select(F.col("name").alias("middle"), F.col("line").alias("other")), "middle")
+        beside = written(beside.select("name", "label", "middle", "line", "other"), "beside-middles")
+
+        found = written(beside.mapInArrow(lines.changed_rows(edits), "sig long, name long, label long, cost int, open int"), "changed-lines")
+        changed = _with(changed, found)
+        leaves = beside.mapInArrow(lines.leaving_rows, "name long, middle long, sides array<long>")
+        smaller = many.join(leaves, ["name", "middle"]).select("sig", "name", "own", "label", F.explode("sides").alias("side"))
+        smaller = written(smaller.select(F.xxhash64("sig", "side").alias("sig"), "name", "own", "label"), "smaller-buckets")
+        size = smaller.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("own").alias("own"), F.count(F.lit(1)).alias("n"))
+        size = written(size.filter("low < high AND own").select("sig", "n"), "smaller-sizes")
+        smaller = written(smaller.join(size, "sig"), "smaller-members")
+        few = few.unionByName(smaller.filter(F.col("n") <= PAIRED).drop("n"))
+        # Names are hashes, so the middle is any line from here on, and a line is split off a few times only.
+        many = smaller.filter(F.col("n") > PAIRED).withColumn("company", F.lit(0))
+        more = not many.isEmpty()
+    pairs = _pairs(few, info, edits)
+    if changed is not None:
+        pairs = pairs.unionByName(_equal(changed, edits)).distinct()
+    return written(_close(pairs, info, edits), "more-line-links")
+
+
+def _equal(changed: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) of the lines that a changed line makes equal, with the one of them that took the fewest edits."""
+    head = changed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("cost", "name")).alias("head"))
+    # Stored, so that the join below may split a line that very many come to.
+    head = written(head.filter("low < high").select("sig", "head"), "changed-heads")
+    near = (F.col("name") != F.col("head.name")) & (F.col("cost") + F.col("head.cost") + F.col("open") <= edits)
+    return changed.join(head, "sig").filter(near).select(F.col("name").alias("a"), F.col("head.name").alias("b"))
+
+
+def _open_links_by_segments(rest: DataFrame, info: DataFrame, edits: int) -> DataFrame:
+    """The same for more than two edits: large buckets are split by the segments of what is
+    left of the lines without the common one, again and again as long as they are large.
+
+    Between the levels a bucket only notes who is linked with its centre.
+    """
     links, first = None, True
     while True:
+        links = _with(links, written(_close(_pairs(rest.filter(F.col("n") <= PAIRED), info, edits), info, edits), "more-line-links"))
+        many = rest.filter(F.col("n") > PAIRED)
+        if many.isEmpty():
+            return links
+        member, first = _narrowed(many, info, edits, first), False
         star = member.filter("name <> centre").select(F.col("name").alias("a"), F.col("centre").alias("b")).distinct()
         near = written(_close(star, info, edits), "line-links")
         links = _with(links, near)
-        if first:
-            settled = written(components(links).withColumnRenamed("node", "name"), "line-components")
-            member = member.join(settled, "name", "left").withColumn("label", F.coalesce("label", "name"))
-        else:
-            # Who is linked with a bucket's centre takes its label, in that bucket; that is all the next level needs.
-            linked = near.select(F.col("a").alias("name"), F.col("b").alias("centre"), F.lit(True).alias("linked"))
-            member = member.join(linked, ["name", "centre"], "left").withColumn("label", F.when(F.col("linked"), F.col("centre_label")).otherwise(F.col("label")))
+        linked = near.select(F.col("a").alias("name"), F.col("b").alias("centre"), F.lit(True).alias("linked"))
+        member = member.join(linked, ["name", "centre"], "left").withColumn("label", F.when(F.col("linked"), F.col("centre_label")).otherwise(F.col("label")))
         open_sigs = member.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
-        # A bucket of two was settled by its one pair.
-        open_sigs = open_sigs.filter("low < high AND n > 2").select("sig", "n")
-        rest = member.join(open_sigs, "sig").join(info.select("name", "chars", "parity"), "name")
-        rest = written(rest, "open-members")
-
-        # A signature finds a pair by the shorter line's own segment.
-        few = rest.filter(F.col("n") <= PAIRED).select("sig", "name", "own", "label", "chars", "parity").distinct()
-        one, two = _numbered(few.filter("own"), "1", ["sig"]), _numbered(few, "2", ["sig"])
-        shorter = (F.col("chars1") < F.col("chars2")) | ((F.col("chars1") == F.col("chars2")) & (F.col("name1") < F.col("name2")))
-        other = (F.col("name1") != F.col("name2")) & (F.col("label1") != F.col("label2"))
-        pairs = one.join(two, "sig").filter(shorter & other & _near("1", "2", edits))
-        pairs = pairs.select(F.col("name1").alias("a"), F.col("name2").alias("b")).distinct()
-        near = written(_close(pairs, info, edits), "more-line-links")
-        more = not near.isEmpty()
-        links = _with(links, near) if more else links
-
-        many = rest.filter(F.col("n") > PAIRED)
-        if many.isEmpty():
-            return components(links).withColumnRenamed("node", "name") if more or not first else settled
-        member, first = _narrowed(many, info, edits, first), False
+        rest = written(member.join(open_sigs.filter("low < high AND n > 2").select("sig", "n"), "sig"), "open-members")
 
 
 def _with(links: DataFrame | None, more: DataFrame) -> DataFrame:

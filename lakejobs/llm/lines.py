@@ -116,6 +116,83 @@ def narrower(edits: int):
     return lambda batches: _batched(rows(batches), ["sig", "name", "own", "label", "cuts"])
 
 
+#: Stands for a character that is open, in a changed line. No valid text holds it.
+OPEN = "\ud800"
+
+
+def shared_start(a: str, b: str) -> int:
+    """Length of the common beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def changes(line: str, other: str, at: int) -> Iterator[tuple[str, int, int]]:
+    """(changed line, edits, open characters): ``line``, and what one change at ``at`` makes of it.
+
+    A character there may go, become or be preceded by that of ``other``, or be left open.
+    """
+    yield line, 0, 0
+    x, y = line[at : at + 1], other[at : at + 1]
+    if x and x != OPEN:
+        yield line[:at] + line[at + 1 :], 1, 0
+        yield line[:at] + OPEN + line[at + 1 :], 0, 1
+        if y:
+            yield line[:at] + y + line[at + 1 :], 1, 0
+    if y:
+        yield line[:at] + y + line[at:], 1, 0
+
+
+def changed(line: str, other: str, edits: int) -> dict[str, tuple[int, int]]:
+    """{changed line: (edits, open characters)}, changed where ``line`` leaves ``other``, forwards and backwards.
+
+    Two lines within two edits that leave ``other`` at different places, or by different
+    characters, on both ends are equal after changes whose edits, and the open characters once,
+    come to two at most; and whichever are, are within two edits.
+    """
+    if line == other:
+        return {line: (0, 0)}
+    out: dict[str, tuple[int, int]] = {}
+    back, other_back = line[::-1], other[::-1]
+    at, from_end = shared_start(line, other), shared_start(back, other_back)
+    # Two characters more or less at one place, where the ends that are shared may overlap.
+    double = [(line[:at] + line[at + 2 :], 2, 0), (line[:at] + other[at : at + 2] + line[at:], 2, 0)]
+    for one, cost, left_open in changes(line, other, at):
+        for two, more, more_open in changes(one[::-1], other_back, from_end):
+            double.append((two[::-1], cost + more, left_open + more_open))
+    for text, cost, left_open in double:
+        if cost + left_open <= edits and (text not in out or cost < out[text][0]):
+            out[text] = cost, left_open
+    return out
+
+
+def changed_rows(edits: int):
+    """(name, label, line, other) to (sig, name, label, cost, open): the changed lines by their hashes."""
+
+    def rows(batches):
+        for batch in batches:
+            for name, label, line, other in zip(*[batch.column(c).to_pylist() for c in ("name", "label", "line", "other")]):
+                for text, (cost, left_open) in changed(line, other, edits).items():
+                    yield name_of(text), name % 2**64, label % 2**64, cost, left_open
+
+    return lambda batches: _batched(rows(batches), ["sig", "name", "label", "cost", "open"])
+
+
+def leaving_rows(batches):
+    """(name, middle, line, other) to (name, middle, sides): the places and characters with which a line leaves the other, forwards and backwards."""
+    for batch in batches:
+        sides = []
+        for line, other in zip(batch.column("line").to_pylist(), batch.column("other").to_pylist()):
+            found = [] if line == other else [(side, a, shared_start(a, b)) for side, a, b in ((0, line, other), (1, line[::-1], other[::-1]))]
+            sides.append([2 * (at * 0x110000 + ord(a[at])) + side for side, a, at in found if at < len(a)])
+        yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("middle"), pa.array(sides, pa.list_(pa.int64()))], ["name", "middle", "sides"])
+
+
 #: Classes of letter pairs, in words of 64 bits.
 PARITY_WORDS = 4
 
@@ -196,7 +273,7 @@ def _batched(rows: Iterator[tuple], columns: list[str], size: int = 20_000) -> I
     def out() -> pa.RecordBatch:
         arrays = []
         for name, values in zip(columns, zip(*part)):
-            arrays.append(pa.array(values) if name in ("line", "doc", "no", "own") else pa.array(values, pa.list_(pa.int32())) if name == "cuts" else signed(values))
+            arrays.append(pa.array(values, pa.int32()) if name in ("cost", "open") else pa.array(values) if name in ("line", "doc", "no", "own") else pa.array(values, pa.list_(pa.int32())) if name == "cuts" else signed(values))
         return pa.RecordBatch.from_arrays(arrays, columns)
 
     for row in rows:
