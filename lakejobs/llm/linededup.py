@@ -149,7 +149,8 @@ def _open_links_by_segments(rest: DataFrame, info: DataFrame, edits: int) -> Dat
     """
     links, first = None, True
     while True:
-        links = _with(links, written(_close(_pairs(rest.filter(F.col("n") <= PAIRED), info, edits), info, edits), "more-line-links"))
+        few = rest.filter(F.col("n") <= PAIRED).select("sig", "name", "own", "label").distinct()
+        links = _with(links, written(_close(_pairs(few, info, edits), info, edits), "more-line-links"))
         many = rest.filter(F.col("n") > PAIRED)
         if many.isEmpty():
             return links
